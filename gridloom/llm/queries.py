@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pii, toxicity
+from . import jaccard_join, packing, pii, toxicity
 from .common import load
 
 
@@ -19,6 +19,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(load(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(load(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
     model = toxicity.train(toxicity.label_rows(docs, labels))
@@ -30,6 +34,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_packing": op2_packing,
         "op4_pii": op4_pii,
+        "op7_jaccard_join": op7_jaccard_join,
         "op10_toxicity": op10_toxicity,
     }
 
