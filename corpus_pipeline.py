@@ -1,28 +1,59 @@
-"""A training corpus from raw documents, in stages. Each stage takes (spark, docs, sf_dir); run() applies them in turn."""
+"""A training corpus from raw documents, in stages. Each stage takes (spark, docs, sf_dir), works on all rows its
+predecessor kept and returns a DataFrame; run() applies them in turn, each written as Parquet and read again."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridloom.llm import toxicity
+from gridloom.llm import jaccard_join, packing, pii, suffix_dedup, toxicity
 from gridloom.llm.common import load, materialise
 
 
+def _measured(docs: DataFrame) -> DataFrame:
+    """n_chars follows a text that a stage has changed."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier rejects go."""
     return toxicity.keep_clean(docs, load(spark, sf_dir, "labels"))
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicates the document with the least id stays."""
+    return jaccard_join.keep_one(docs)
+
+
+def strip_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that occur at more than one place are taken out of the texts."""
+    return _measured(suffix_dedup.strip(docs))
+
+
+def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by the name of its kind."""
+    return _measured(pii.redact(docs))
+
+
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of all documents are packed into windows; one row for each piece."""
+    return packing.pack(docs, packing.public_tokenization())
+
+
 STAGES = [
     ("toxicity", drop_toxic),
+    ("jaccard join", drop_near_duplicates),
+    ("suffix-array dedup", strip_repeats),
+    ("pii", redact_pii),
+    ("packing", pack_windows),
 ]
 
-#: The stages hold trained and hashed decisions that SQL cannot express.
+#: A trained classifier, hashed candidates and tokenizers decide here; SQL cannot express them.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs
