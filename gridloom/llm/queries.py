@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, packing, piece_model, pii, suffix_dedup, toxicity
+from . import jaccard_join, language_id, packing, piece_model, pii, suffix_dedup, toxicity
 from .common import load
 
 
@@ -19,6 +19,13 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(load(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    model = language_id.train(docs.where(~held).select(F.col("doc_id").alias("id"), "text", "lang"))
+    return language_id.predict(docs, model).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(load(spark, sf_dir, "documents"))
 
@@ -37,13 +44,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
     model = toxicity.train(toxicity.label_rows(docs, labels))
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
-    return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+    return toxicity.score(docs, model).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_packing": op2_packing,
         "op4_pii": op4_pii,
+        "op6_language_id": op6_language_id,
         "op7_jaccard_join": op7_jaccard_join,
         "op8_pieces": op8_pieces,
         "op9_suffix_dedup": op9_suffix_dedup,
