@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, language_id, packing, piece_model, pii, suffix_dedup, toxicity
+from . import jaccard_join, language_id, packing, piece_model, pii, suffix_dedup, toxicity, warc
 from .common import load
 
 
@@ -19,6 +19,12 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(load(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest, folder = warc.archive(load(spark, sf_dir, "pages"))
+    got = warc.read(spark, manifest, folder, with_payload=False)
+    return got.select(F.col("id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
@@ -51,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_packing": op2_packing,
         "op4_pii": op4_pii,
+        "op5_warc": op5_warc,
         "op6_language_id": op6_language_id,
         "op7_jaccard_join": op7_jaccard_join,
         "op8_pieces": op8_pieces,
@@ -60,4 +67,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_warc": """
+with p as (select page_id, coalesce(html, '') html from pages),
+k as (select html, max(page_id) keep from p where strlen(html) >= 1000 group by html having count(*) > 1)
+select page_id, cast(strlen(p.html) as bigint) payload_bytes, sha1(p.html) payload_digest,
+  case when keep is not null and page_id is distinct from keep then 'revisit' else 'response' end record_type,
+  case when page_id is distinct from keep then keep end refers_to
+from p left join k on p.html = k.html""",
+    }
