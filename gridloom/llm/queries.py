@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, language_id, packing, piece_model, pii, suffix_dedup, toxicity, warc
+from . import jaccard_join, language_id, media, packing, piece_model, pii, suffix_dedup, toxicity, warc
 from .common import load
 
 
@@ -15,6 +15,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"), packing.public_tokenization())
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.tensors(media.store(load(spark, sf_dir, "documents")), with_tensors=False)
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(load(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_packing": op2_packing,
+        "op3_media": op3_media,
         "op4_pii": op4_pii,
         "op5_warc": op5_warc,
         "op6_language_id": op6_language_id,
