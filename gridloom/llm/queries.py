@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, language_id, media, packing, piece_model, pii, suffix_dedup, toxicity, warc
+from . import jaccard_join, language_id, media, packing, partition_ann, piece_model, pii, suffix_dedup, toxicity, warc
 from .common import load
 
 
+def op1_partition_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = load(spark, sf_dir, "embeddings")
+    return partition_ann.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"), packing.public_tokenization())
 
@@ -59,6 +64,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_partition_ann": op1_partition_ann,
         "op2_packing": op2_packing,
         "op3_media": op3_media,
         "op4_pii": op4_pii,
