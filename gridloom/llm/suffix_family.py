@@ -2,7 +2,9 @@
 
 New batches get a suffix array of their own, are merge-scanned against the arrays already held, and arrays
 of about equal size are merged, so sizes grow geometrically and each suffix is moved a logarithmic number of
-times. Only the first ``depth`` bytes of a suffix matter here: two suffixes match if those are equal.
+times. Only the first ``depth`` bytes of a suffix matter here: two suffixes match if those are equal. Equal
+suffixes of a batch are found first, by hashes that are verified on the bytes, and one of them stands for all
+in the arrays.
 """
 
 from __future__ import annotations
@@ -11,37 +13,49 @@ from dataclasses import dataclass
 
 import numpy as np
 
+_BASE = 0x9E3779B97F4A7C15
+
+
+def words_of(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as a number that sorts as they do; zeros stand after the end."""
+    x = np.concatenate([text, np.zeros(8, np.uint8)])
+    out = np.zeros(len(text), np.uint64)
+    for i in range(8):
+        out = out << np.uint64(8) | x[i : i + len(text)]
+    return out
+
 
 @dataclass
 class Level:
-    """text: the strings one after another; at: suffix starts in the order of their first bytes; name: of each suffix."""
+    """words: of the strings one after another; at: suffix starts in the order of their first bytes; name: of each suffix."""
 
-    text: np.ndarray
+    words: np.ndarray
     at: np.ndarray
     name: np.ndarray
 
 
-def _column(text: np.ndarray, at: np.ndarray, c: int) -> np.ndarray:
-    """Eight bytes of each suffix from its byte 8c on, as a number that sorts as they do."""
-    return np.ascontiguousarray(text[at[:, None] + np.arange(8 * c, 8 * c + 8)]).view(">u8").ravel().astype(np.uint64)
-
-
 def _bounds(level: Level, c: int, x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Within each range [lo, hi) of level, whose suffixes agree before column c, the part whose column c equals x."""
+    value = lambda i: level.words[level.at[i] + 8 * c]
 
-    def bound(strict: bool) -> np.ndarray:
-        a, b = lo.copy(), hi.copy()
+    def bound(a: np.ndarray, b: np.ndarray, x: np.ndarray, behind: bool) -> np.ndarray:
+        a, b = a.copy(), b.copy()
         open_ = np.flatnonzero(a < b)
         while len(open_):
             mid = (a[open_] + b[open_]) >> 1
-            v = _column(level.text, level.at[mid], c)
-            right = v < x[open_] if strict else v <= x[open_]
+            v = value(mid)
+            right = v <= x[open_] if behind else v < x[open_]
             a[open_] = np.where(right, mid + 1, a[open_])
             b[open_] = np.where(right, b[open_], mid)
             open_ = open_[a[open_] < b[open_]]
         return a
 
-    return bound(True), bound(False)
+    first = bound(lo, hi, x, False)
+    last = first.copy()
+    some = np.flatnonzero(first < hi)
+    some = some[value(first[some]) == x[some]]
+    last[some] = bound(first[some] + 1, hi[some], x[some], True)
+    return first, last
 
 
 class SuffixFamily:
@@ -52,32 +66,50 @@ class SuffixFamily:
         assert depth % 8 == 0, "suffixes are compared eight bytes at a time"
         self.depth, self.levels, self.matched = depth, [], np.zeros(0, bool)
 
-    def _sorted(self, text: np.ndarray, at: np.ndarray, name: np.ndarray) -> Level:
+    def _distinct(self, text: np.ndarray, words: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """For each suffix the first one that equals it."""
+        up = np.concatenate([[np.uint64(1)], np.cumprod(np.full(len(text), _BASE, np.uint64))])
+        down = np.cumprod(np.full(len(text), pow(_BASE, -1, 1 << 64), np.uint64))
+        spread = (text.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+        prefix = np.concatenate([[np.uint64(0)], np.cumsum((spread ^ spread >> np.uint64(31)) * up[:-1])])
+        h = (prefix[at + self.depth] - prefix[at]) * down[at]
+        _, first, back = np.unique(h ^ h >> np.uint64(32), return_index=True, return_inverse=True)
+        rep = first[back]
+        # equal strings side by side need only be compared at the first of them, and then byte by byte at their ends
+        one, two = at, at[rep]
+        head = np.concatenate([[True], (one[1:] != one[:-1] + 1) | (two[1:] != two[:-1] + 1)])
+        a, b = one[head], two[head]
+        same = text[one + self.depth - 1] == text[two + self.depth - 1]
+        if same.all() and all((words[a + 8 * c] == words[b + 8 * c]).all() for c in range(self.depth // 8)):
+            return rep
+        return np.arange(len(at))  # two strings share a hash: let the sort tell them apart
+
+    def _sorted(self, words: np.ndarray, at: np.ndarray, name: np.ndarray) -> Level:
         """The suffix array: order by the first eight bytes, then those that tie by the next, and so on."""
-        order = np.argsort(_column(text, at, 0), kind="stable")
-        at, name = at[order], name[order]
-        key = _column(text, at, 0)
+        key = words[at]
+        order = np.argsort(key, kind="stable")
+        at, name, key = at[order], name[order], key[order]
         same = np.concatenate([[False], key[1:] == key[:-1]])
         for c in range(1, self.depth // 8):
             tied = np.flatnonzero(same | np.concatenate([same[1:], [False]]))
             if not len(tied):
                 break
             group = np.cumsum(~same[tied])
-            key = _column(text, at[tied], c)
+            key = words[at[tied] + 8 * c]
             order = np.lexsort((key, group))
             at[tied], name[tied] = at[tied][order], name[tied][order]
             key = key[order]
             same[tied] &= np.concatenate([[False], key[1:] == key[:-1]])
         twice = same | np.concatenate([same[1:], [False]])
         self.matched[name[twice]] = True
-        return Level(text, at, name)
+        return Level(words, at, name)
 
     def _scan(self, level: Level, new: Level) -> np.ndarray:
         """Mark equal suffixes of both; return where in level each of new's suffixes belongs."""
         lo, hi = np.zeros(len(new.at), np.int64), np.full(len(new.at), len(level.at), np.int64)
         live = np.arange(len(new.at))
         for c in range(self.depth // 8):
-            a, b = _bounds(level, c, _column(new.text, new.at[live], c), lo[live], hi[live])
+            a, b = _bounds(level, c, new.words[new.at[live] + 8 * c], lo[live], hi[live])
             lo[live], hi[live] = a, b
             live = live[a < b]
             if not len(live):
@@ -96,9 +128,9 @@ class SuffixFamily:
         at, name = np.empty(len(level.at) + len(put), np.int64), np.empty(len(level.at) + len(put), np.int64)
         old = np.ones(len(at), bool)
         old[put] = False
-        at[put], name[put] = new.at + len(level.text), new.name
+        at[put], name[put] = new.at + len(level.words), new.name
         at[old], name[old] = level.at, level.name
-        return Level(np.concatenate([level.text, new.text]), at, name)
+        return Level(np.concatenate([level.words, new.words]), at, name)
 
     def add(self, strings: list[bytes], suffixes: np.ndarray) -> int:
         """Returns the name of the first new suffix; names count on through the strings."""
@@ -110,9 +142,17 @@ class SuffixFamily:
         lengths = np.fromiter(map(len, strings), np.int64, len(strings))
         begin = np.cumsum(lengths) - lengths
         step = np.arange(total) - np.repeat(np.cumsum(suffixes) - suffixes, suffixes)
-        new = self._sorted(np.frombuffer(b"".join(strings), np.uint8), np.repeat(begin, suffixes) + step, np.arange(first, first + total))
+        text, at = np.frombuffer(b"".join(strings), np.uint8), np.repeat(begin, suffixes) + step
+        words = words_of(text)
+        rep = self._distinct(text, words, at)
+        own = np.flatnonzero(rep == np.arange(total))
+        more = np.flatnonzero(rep != np.arange(total))
+        self.matched[first + rep[more]] = True
+        new = self._sorted(words, at[own], first + own)
         for level in self.levels:
             self._scan(level, new)
+        # a suffix that another stands for matches at least that one
+        self.matched[first + more] = True
         while self.levels and len(self.levels[-1].at) <= 2 * len(new.at):
             level = self.levels.pop()
             new = self._merged(level, new, self._scan(level, new))
