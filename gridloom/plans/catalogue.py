@@ -2,10 +2,692 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import boxes as B
+from ..functions import geometry as G
+from ..operators import cache, knn, nbody, pairs, ray, rect, tree, verify
+from ..sources import sinks, tables, workloads
+from . import sql as S
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+RECT = (10000, 10200, 50000, 150000)
+OTHER = (10300, 10500, 50000, 150000)
+NEAR = (10350, 10450, 100000, 200000)
+POINT = (10341, 123456)
+K = 7
+WORLD = (9000, 12000, 0, 600000)
+
+
+def query(sql: str | None = None):
+    def register(f: Query) -> Query:
+        name = f.__name__
+        _QUERIES[name] = f
+        if sql is not None:
+            _SQL[name] = sql
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _orders(spark: SparkSession, d: str, *payload: str) -> DataFrame:
+    return B.validate(tables.order_boxes(spark, d, *payload))
+
+
+def _box_sql(body: str, *more: str) -> str:
+    return S.ctes(S.ORDERS, *more) + body
+
+
+# -- A: sources, generators, sinks
+
+
+@query(_box_sql("select * from boxes"))
+def a01_index_from_table(spark, d):
+    return _orders(spark, d)
+
+
+@query("select p_partkey id, p_partkey * 4 % 1000 x1, p_partkey * 4 % 1000 + 5 x2, 0::bigint y1, 10::bigint y2, p_size from part")
+def a02_boxes_by_key(spark, d):
+    key = F.col("p_partkey") * 4 % 1000
+    return B.from_key(tables.read(spark, d, "part"), lambda df: (key, key + 5, F.lit(0).cast("long"), F.lit(10).cast("long")), "p_partkey").select("id", "x1", "x2", "y1", "y2", "p_size")
+
+
+@query(_box_sql("select node_id, count(*) n, min(id) least, max(id) most from el group by 1", *S.tree()))
+def a03_save_and_restore(spark, d):
+    df = _orders(spark, d)
+    back = sinks.round_trip(spark, tree.build(df), df)
+    return back.elements.groupBy("node_id").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.max("id").alias("most"))
+
+
+@query(_box_sql("select node_id, div, n from nodes", *S.tree()))
+def a05_raw_nodes(spark, d):
+    df = _orders(spark, d)
+    return sinks.round_trip(spark, tree.build(df), df).nodes.select("node_id", "div", "n")
+
+
+_SPIRAL = "(select i id, sqrt(i::double) * {g} * cos(i * 2.399963229728653) px, sqrt(i::double) * {g} * sin(i * 2.399963229728653) py from range({n}) t(i))"
+
+
+@query(f"select id, cast(round(px * 1000) as bigint) px, cast(round(py * 1000) as bigint) py, cast(round((px - 2) * 1000) as bigint) x1 from {_SPIRAL.format(g=1.5, n=5000)}")
+def a06_spiral(spark, d):
+    m = lambda c: F.round(F.col(c) * 1000).cast("long").alias(c)
+    return workloads.abspiral(spark, 5000).select("id", m("px"), m("py"), m("x1"))
+
+
+@query("select id, px - h x1, px + h x2, py - h y1, py + h y2 from (select i id, cast(trunc(400.0::double + sqrt(i::double) * 2.0::double * cos(i * 2.399963229728653::double)) as bigint) px, cast(trunc(400.0::double + sqrt(i::double) * 2.0::double * sin(i * 2.399963229728653::double)) as bigint) py, case when i > 1000 and i < 4000 then 100 else 8 end h from range(10000) t(i))")
+def a08_test_spiral(spark, d):
+    half = F.when((F.col("id") > 1000) & (F.col("id") < 4000), 100).otherwise(8)
+    return workloads.spiral_boxes(spark, 10_000, 2.0, half)
+
+
+@query()
+def a09_random_boxes(spark, d):
+    return workloads.random_boxes(spark, 500)
+
+
+@query("select i id, i % 40 * 3 px, i // 40 * 2 py from range(1000) t(i)")
+def a10_grid_points(spark, d):
+    return workloads.grid_points(spark, 40, 25, 3, 2)
+
+
+@query("select i sample, cast(round((0.2 + i * 1.3 / 120) * 1000000) as bigint) micro from range(120) t(i)")
+def a11_sweep_values(spark, d):
+    return workloads.sweep_values(spark, 0.2, 1.5).select("sample", F.round(F.col("value") * 1_000_000).cast("long").alias("micro"))
+
+
+@query("select i n from range(0, 10000, 100) t(i)")
+def a11_sweep_sizes(spark, d):
+    return workloads.sweep_sizes(spark, 10_000, 100)
+
+
+@query(S.ctes(S.POINTS) + "select pt_id, px - 5 x1, px + 5 x2, py - 5 y1, py + 5 y2 from points")
+def a12_attach_boxes(spark, d):
+    return B.around_point(tables.customer_points(spark, d), F.col("px"), F.col("py"), F.lit(5)).select("pt_id", "x1", "x2", "y1", "y2")
+
+
+@query(_box_sql("select level, count(*) nodes, cast(sum(n) as bigint) elements from nodes group by 1", *S.tree()))
+def a13_series_sink(spark, d):
+    return sinks.series_round_trip(tree.per_level(tree.build(_orders(spark, d))))
+
+
+# -- B: boxes and transforms
+
+
+@query("select s_suppkey id, s_suppkey x1, s_suppkey + 10 x2, 2 * s_suppkey y1, 2 * s_suppkey + 5 y2, s_name from supplier")
+def b01_rect(spark, d):
+    k = F.col("s_suppkey")
+    return B.with_rect(tables.read(spark, d, "supplier").select(k.alias("id"), "s_suppkey", "s_name"), k, k + 10, 2 * k, 2 * k + 5).drop("s_suppkey")
+
+
+@query(_box_sql("select id, x1 lo, x2 hi, o_orderpriority from boxes join orders on id = o_orderkey"))
+def b02_boxes_with_payload(spark, d):
+    return _orders(spark, d, "o_orderpriority").select("id", F.col("x1").alias("lo"), F.col("x2").alias("hi"), "o_orderpriority")
+
+
+@query(S.ctes(S.POINTS) + "select pt_id, px - pt_id % 9 x1, px + pt_id % 9 x2, py - pt_id % 9 y1, py + pt_id % 9 y2 from points")
+def b03_from_point(spark, d):
+    return B.around_point(tables.customer_points(spark, d), F.col("px"), F.col("py"), F.col("pt_id") % 9).select("pt_id", "x1", "x2", "y1", "y2")
+
+
+@query(_box_sql("select min(x1) x1, max(x2) x2, min(y1) y1, max(y2) y2 from boxes"))
+def b04_border(spark, d):
+    return B.border(_orders(spark, d))
+
+
+_NORM = "cast(trunc(({c} - {lo})::double * 65535::double / ({hi} - {lo})) as bigint) {c}"
+
+
+@query(_box_sql(f"select id, {_NORM.format(c='x1', lo='a', hi='b')}, {_NORM.format(c='x2', lo='a', hi='b')}, {_NORM.format(c='y1', lo='e', hi='f')}, {_NORM.format(c='y2', lo='e', hi='f')} from boxes, (select min(x1) a, max(x2) b, min(y1) e, max(y2) f from boxes)"))
+def b05_normalise(spark, d):
+    return B.normalise(_orders(spark, d), 65535)
+
+
+_EDGE = "cast(least(greatest({f}(({v}) * 65535.0::double / {span}::double), 0), 65535) as bigint) {c}"
+
+
+@query(S.ctes(S.POINTS) + "select pt_id, " + ", ".join(_EDGE.format(f=f, v=v, span=s, c=c) for f, v, s, c in (("floor", "px - 2.0::double - 9000.0::double", "3000.0", "x1"), ("ceil", "px + 2.0::double - 9000.0::double", "3000.0", "x2"), ("floor", "py - 2.0::double - 0.0::double", "600000.0", "y1"), ("ceil", "py + 2.0::double - 0.0::double", "600000.0", "y2"))) + " from points")
+def b06_fixed_radius(spark, d):
+    return B.fixed_radius_grid(tables.customer_points(spark, d), F.col("px"), F.col("py"), 2.0, tuple(map(float, WORLD))).select("pt_id", "x1", "x2", "y1", "y2")
+
+
+@query("select o_orderkey id, o_orderpriority from orders")
+def b07_unpack(spark, d):
+    return B.payload(_orders(spark, d, "o_orderpriority"))
+
+
+@query(_box_sql("select id, x1 lx1, case when id % 2 = 0 then x1 + 3 else x2 end lx2, y1 ly1, case when id % 2 = 1 then x1 + 3 else y2 end ly2, case when id % 2 = 0 then x1 + 3 else x1 end rx1, x2 rx2, case when id % 2 = 1 then x1 + 3 else y1 end ry1, y2 ry2 from boxes"))
+def b08_subdivide(spark, d):
+    return B.subdivide(_orders(spark, d), F.col("id") % 2, F.col("x1") + 3).drop("x1", "x2", "y1", "y2")
+
+
+@query("select s_suppkey id, cast(trunc(s_acctbal / 3) as bigint) x1, cast(trunc(s_acctbal / 3 + 1) as bigint) x2, cast(trunc(-s_acctbal / 7) as bigint) y1, cast(trunc(1 - s_acctbal / 7) as bigint) y2 from supplier")
+def b09_cast(spark, d):
+    v = F.col("s_acctbal")
+    df = B.with_rect(tables.read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), "s_acctbal"), v / 3, v / 3 + 1, -v / 7, 1 - v / 7)
+    return B.cast_sides(df, "long").drop("s_acctbal")
+
+
+# -- C, D: the tree
+
+
+@query(_box_sql("select * from nodes", *S.tree()))
+def c01_tree_nodes(spark, d):
+    return tree.build(_orders(spark, d)).nodes
+
+
+@query(_box_sql("select * from nodes", *S.tree(5)))
+def c02_tree_of_five_levels(spark, d):
+    return tree.build(_orders(spark, d), 5).nodes
+
+
+@query(_box_sql("select id, case when x2 < div then 1 when x1 > div then 2 else 0 end side from boxes, (select x1 div from (select x1, row_number() over (order by x1) rn, count(*) over () n from boxes) where rn = n // 2 + 1)"))
+def c03_split_node(spark, d):
+    got = tree.build(_orders(spark, d), 2).elements
+    return got.select("id", F.when(F.col("node_id") == 2, 1).when(F.col("node_id") == 3, 2).otherwise(0).alias("side"))
+
+
+@query(_box_sql("select node_id, cont_start, cont_end, n, min_elem from nodes", *S.tree(3)))
+def c04_finish_nodes(spark, d):
+    return tree.build(_orders(spark, d), 3).nodes.select("node_id", "cont_start", "cont_end", "n", "min_elem")
+
+
+@query("select n, cast(case when n <= 80 then 1 else cast(floor(log2(n // 80)) as bigint) // 2 * 2 + 1 end as integer) levels from (select unnest([0, 1, 80, 81, 319, 320, 1279, 1280, 10000, 15000, 20000, 60000, 150000, 600000]::bigint[]) n)")
+def c09_default_height(spark, d):
+    sizes = [0, 1, 80, 81, 319, 320, 1279, 1280, 10_000, 15_000, 20_000, 60_000, 150_000, 600_000]
+    return spark.createDataFrame([(n, tree.default_levels(n)) for n in sizes], "n long, levels int")
+
+
+@query(_box_sql("select id, node_id from el", *S.tree()))
+def c10_unsorted_tree(spark, d):
+    return tree.build(_orders(spark, d)).elements.select("id", "node_id")
+
+
+@query(S.ctes(S.EVENTS, *S.tree()) + "select node_id, div, n from nodes")
+def c11_tree_of_events(spark, d):
+    return tree.build(B.validate(tables.event_boxes(spark, d))).nodes.select("node_id", "div", "n")
+
+
+@query(_box_sql("select id, x1, cast(row_number() over (order by x1, id) - 1 as bigint) place from boxes"))
+def c13_sweep_list(spark, d):
+    return pairs.sweep_list(_orders(spark, d)).select("id", "x1", "place")
+
+
+@query(_box_sql("select node_id, level, n, cast(row_number() over (order by (node_id - (1 << level)) << (20 - level), level) - 1 as bigint) preorder from nodes", *S.tree()))
+def d01_preorder(spark, d):
+    return tree.preorder(tree.build(_orders(spark, d))).select("node_id", "level", "n", "preorder")
+
+
+@query(_box_sql("select max(level) + 1 num_levels, count(*) num_nodes, cast(sum(n) as bigint) num_elements from nodes", *S.tree()))
+def d03_counts(spark, d):
+    return tree.counts(tree.build(_orders(spark, d)))
+
+
+@query(_box_sql("select id, x1, x2, y1, y2 from el where node_id = 1", *S.tree()))
+def d04_elements_of_root(spark, d):
+    return tree.of_node(tree.build(_orders(spark, d)), 1).select("id", "x1", "x2", "y1", "y2")
+
+
+@query(_box_sql("select count(*) n, cast(sum(x2 - x1) as bigint) width from el", *S.tree(3)))
+def d05_all_elements(spark, d):
+    return tree.build(_orders(spark, d), 3).elements.agg(F.count("*").alias("n"), F.sum(F.col("x2") - F.col("x1")).alias("width"))
+
+
+@query(_box_sql("select coalesce(sum(case when level < k // 4 then n end), 0) > coalesce(sum(case when level >= k // 4 then n end), 0) degenerate from nodes, cfg", *S.tree()))
+def d07_degenerate(spark, d):
+    return tree.degenerate(tree.build(_orders(spark, d)))
+
+
+def _regions(levels: int) -> list[str]:
+    """CTEs r0, r1, ...: the parts of the world of each level's nodes."""
+    head = "(node_id, level, x1, x2, y1, y2)"
+    parts = [f"r0{head} as (select 1::bigint, 0, {', '.join(f'{v}::bigint' for v in WORLD)})"]
+    for i in range(levels - 1):
+        lo, hi = ("x1", "x2") if i % 2 == 0 else ("y1", "y2")
+        cols = lambda c: ", ".join("div" if s == c else s for s in ("x1", "x2", "y1", "y2"))
+        parts.append(f"r{i + 1}{head} as (select node_id * 2, {i + 1}, {cols(hi)} from r{i} join dv using (node_id) union all select node_id * 2 + 1, {i + 1}, {cols(lo)} from r{i} join dv using (node_id))")
+    return [*parts, "rg as (" + " union all ".join(f"select * from r{i}" for i in range(levels)) + ")"]
+
+
+@query(_box_sql("select * from rg", *S.tree(5), *_regions(5)))
+def d08_regions(spark, d):
+    return tree.regions(tree.build(_orders(spark, d), 5), WORLD)
+
+
+@query("select unnest(['counts add up', 'element inside cont', 'element on its side of dividers above', 'element touches its divider']) as rule, 0::bigint n")
+def d09_invariants(spark, d):
+    return tree.violations(tree.build(_orders(spark, d)))
+
+
+@query("select true is_sorted")
+def d10_is_sorted(spark, d):
+    from pyspark.sql import Window
+
+    got = tree.in_node_order(tree.build(_orders(spark, d)))
+    start = F.when(F.col("level") % 2 == 0, F.col("y1")).otherwise(F.col("x1"))
+    rows = got.select("node_id", start.alias("start")).withColumn("place", F.row_number().over(Window.partitionBy("node_id").orderBy("start")))
+    return tree.is_sorted(rows, "start", ["node_id"])
+
+
+@query(_box_sql("select level, count(*) nodes, cast(sum(n) as bigint) elements from nodes group by 1", *S.tree()))
+def d11_per_level(spark, d):
+    return tree.per_level(tree.build(_orders(spark, d)))
+
+
+# -- E: predicates
+
+
+@query(_box_sql("select id, x1 <= 10200 and 10000 <= x2 as hit from boxes"))
+def e01_range_intersects(spark, d):
+    return _orders(spark, d).select("id", G.range_intersects(F.col("x1"), F.col("x2"), F.lit(10000), F.lit(10200)).alias("hit"))
+
+
+@query(_box_sql(f"select id, {S.touches(RECT)} as hit from boxes"))
+def e02_rect_intersects(spark, d):
+    return _orders(spark, d).select("id", G.intersects(G.literal(*RECT), G.side()).alias("hit"))
+
+
+@query(_box_sql(f"select id, greatest(x1, {RECT[0]}) x1, least(x2, {RECT[1]}) x2, greatest(y1, {RECT[2]}) y1, least(y2, {RECT[3]}) y2 from boxes where {S.touches(RECT)}"))
+def e03_overlap(spark, d):
+    r = G.literal(*RECT)
+    o = G.overlap(G.side(), r)
+    return rect.intersecting(_orders(spark, d), RECT).select("id", *(c.cast("long").alias(n) for n, c in zip(("x1", "x2", "y1", "y2"), o, strict=True)))
+
+
+@query(_box_sql(f"select id, {S.inside(RECT)} as hit from boxes"))
+def e04_contains(spark, d):
+    return _orders(spark, d).select("id", G.contains(G.literal(*RECT), G.side()).alias("hit"))
+
+
+@query(_box_sql("select id, x1 <= 10341 and 10341 <= x2 as hit from boxes"))
+def e05_range_contains(spark, d):
+    return _orders(spark, d).select("id", G.range_contains(F.col("x1"), F.col("x2"), F.lit(10341)).alias("hit"))
+
+
+@query(_box_sql("select id, case when 10341 < x1 then -1 when 10341 > x2 then 1 else 0 end side from boxes"))
+def e06_side_of(spark, d):
+    return _orders(spark, d).select("id", G.side_of(F.col("x1"), F.col("x2"), F.lit(10341)).alias("side"))
+
+
+@query(_box_sql("select id, x1 from boxes order by x1, id"))
+def e07_order_by_start(spark, d):
+    return _orders(spark, d).select("id", "x1").orderBy("x1", "id")
+
+
+@query(_box_sql("select id from boxes where x1 <= 10200 and x2 >= 10000"))
+def e08_section(spark, d):
+    return _orders(spark, d).where((F.col("x1") <= 10200) & (F.col("x2") >= 10000)).select("id")
+
+
+@query(_box_sql("select id_a, id_b from pairs where (id_a + id_b) % 3 = 0 and id_a not in (select id from boxes where id % 11 = 0)", S.PAIRS))
+def e09_residual(spark, d):
+    df = _orders(spark, d)
+    listed = df.where("id % 11 = 0").select(F.col("id").alias("id_a"))
+    return pairs.grid(df).where("(id_a + id_b) % 3 = 0").join(listed, "id_a", "left_anti").select("id_a", "id_b")
+
+
+# -- F: pair joins
+
+_PAIR_SQL = _box_sql("select * from pairs", S.PAIRS)
+
+
+@query(_PAIR_SQL)
+def f01_pairs_grid(spark, d):
+    return pairs.grid(_orders(spark, d))
+
+
+@query(S.ctes(S.EVENTS, S.PAIRS) + "select * from pairs")
+def f01_pairs_of_events(spark, d):
+    return pairs.grid(B.validate(tables.event_boxes(spark, d)))
+
+
+@query(_PAIR_SQL)
+def f02_pairs_naive(spark, d):
+    return pairs.naive(_orders(spark, d))
+
+
+@query(_PAIR_SQL)
+def f03_pairs_sweep(spark, d):
+    return pairs.sweep(_orders(spark, d))
+
+
+@query(_PAIR_SQL)
+def f04_pairs_tree(spark, d):
+    return tree.pairs(tree.build(_orders(spark, d)))
+
+
+@query(_box_sql("select count(*) n, cast(sum(id_b - id_a) as bigint) gap, max(id_b) most from pairs", S.PAIRS))
+def f06_accumulate(spark, d):
+    return pairs.accumulate(pairs.grid(_orders(spark, d)), F.count("*").alias("n"), F.sum(F.col("id_b") - F.col("id_a")).alias("gap"), F.max("id_b").alias("most"))
+
+
+_TWO = f"a.id id_a, b.rect_id id_b from boxes a join rects b on {{on}}"
+
+
+@query(_box_sql("select " + _TWO.format(on=S.IN), S.RECTS))
+def f07_two_sets_contained(spark, d):
+    return pairs.between(_orders(spark, d), tables.part_rects(spark, d).withColumnRenamed("rect_id", "id"))
+
+
+@query(_box_sql("select " + _TWO.format(on=S.HIT), S.RECTS))
+def f08_two_sets_intersecting(spark, d):
+    return pairs.between(_orders(spark, d), tables.part_rects(spark, d).withColumnRenamed("rect_id", "id"), "intersects")
+
+
+@query("select a.n_nationkey id_a, b.n_nationkey id_b from nation a join nation b on a.n_nationkey < b.n_nationkey")
+def f09_every_pair(spark, d):
+    return pairs.every_pair(tables.read(spark, d, "nation").select(F.col("n_nationkey").alias("id")))
+
+
+@query(_box_sql("select el.level, count(*) n from pairs join el on el.id = id_a group by 1", S.PAIRS, *S.tree()))
+def f14_pairs_by_level(spark, d):
+    t = tree.build(_orders(spark, d))
+    return tree.pairs(t).join(t.elements.select(F.col("id").alias("id_a"), "level"), "id_a").groupBy("level").agg(F.count("*").alias("n"))
+
+
+@query(_box_sql("select b.id, count(e.id) degree from boxes b left join ends e using (id) group by 1", S.PAIRS, S.ENDS))
+def f16_degree(spark, d):
+    df = _orders(spark, d)
+    return pairs.degree(df, pairs.grid(df))
+
+
+@query(_box_sql("select count(*) n from pairs", S.PAIRS))
+def f16_pair_count(spark, d):
+    return pairs.accumulate(pairs.grid(_orders(spark, d)), F.count("*").alias("n"))
+
+
+@query(_box_sql("select x.id, cast(coalesce(sum(x.x1 + x.x2 - o.x1 - o.x2), 0) as bigint) fx, cast(coalesce(sum(x.y1 + x.y2 - o.y1 - o.y2), 0) as bigint) fy from boxes x left join ends e on e.id = x.id left join boxes o on o.id = e.other group by 1", S.PAIRS, S.ENDS))
+def f17_push_apart(spark, d):
+    df = _orders(spark, d)
+    return pairs.push_apart(df, pairs.grid(df))
+
+
+@query(_box_sql("select b.id, count(e.id) % 2 parity from boxes b left join ends e using (id) group by 1", S.PAIRS, S.ENDS))
+def f18_parity(spark, d):
+    df = _orders(spark, d)
+    return pairs.parity(df, pairs.grid(df))
+
+
+@query(_box_sql("select id from boxes where id in (select id from ends)", S.PAIRS, S.ENDS))
+def f16_colliding(spark, d):
+    df = _orders(spark, d)
+    return pairs.colliding(df, pairs.grid(df)).select("id")
+
+
+@query(_box_sql("select id from boxes where id not in (select id from ends)", S.PAIRS, S.ENDS))
+def f16_free(spark, d):
+    df = _orders(spark, d)
+    return pairs.free(df, pairs.grid(df)).select("id")
+
+
+# -- G: rectangles
+
+
+@query(_box_sql(f"select * from boxes where {S.inside(RECT)}"))
+def g01_inside(spark, d):
+    return rect.inside(_orders(spark, d), RECT)
+
+
+@query(_box_sql(f"select * from boxes where {S.touches(RECT)}"))
+def g02_intersecting(spark, d):
+    return rect.intersecting(_orders(spark, d), RECT)
+
+
+@query(_box_sql(f"select * from boxes where not ({S.inside(RECT)})"))
+def g03_not_inside(spark, d):
+    return rect.not_inside(_orders(spark, d), RECT)
+
+
+@query(_box_sql(f"select a.id, b.rect_id from boxes a join rects b on {S.IN}", S.RECTS))
+def g06_inside_many(spark, d):
+    return rect.inside_many(_orders(spark, d), tables.part_rects(spark, d))
+
+
+@query(_box_sql(f"select a.id, b.rect_id from boxes a join rects b on {S.HIT}", S.RECTS))
+def g06_intersecting_many(spark, d):
+    return rect.intersecting_many(_orders(spark, d), tables.part_rects(spark, d))
+
+
+@query(_box_sql(f"select id, 1 which from boxes where {S.inside(RECT)} union all select id, 2 from boxes where {S.inside(OTHER)}"))
+def g07_two_disjoint(spark, d):
+    return rect.two_if_disjoint(_orders(spark, d), RECT, OTHER).select("id", "which")
+
+
+@query(_box_sql("select id, 1 which from boxes where false"))
+def g07_two_touching(spark, d):
+    return rect.two_if_disjoint(_orders(spark, d), RECT, (10200, 10300, 50000, 150000)).select("id", "which")
+
+
+# -- H: nearest
+
+
+def _knn_sql(select: str, dist: str = S.distance2(str(POINT[0]), str(POINT[1]))) -> str:
+    return _box_sql(select, f"ranked as (select * from (select *, dense_rank() over (order by dist) \"rank\" from (select *, {dist} dist from boxes)) where \"rank\" <= {K})")
+
+
+@query(_knn_sql('select id, dist, cast("rank" as integer) "rank" from ranked'))
+def h01_nearest(spark, d):
+    return knn.nearest(_orders(spark, d), *POINT, K).select("id", "dist", "rank")
+
+
+_CENTRE = f"(x1 + x2 - {2 * POINT[0]}) * (x1 + x2 - {2 * POINT[0]}) + (y1 + y2 - {2 * POINT[1]}) * (y1 + y2 - {2 * POINT[1]})"
+
+
+@query(_knn_sql('select id, dist, cast("rank" as integer) "rank" from ranked', _CENTRE))
+def h02_nearest_by_centre(spark, d):
+    def fine(px, py):
+        dx, dy = F.col("x1") + F.col("x2") - 2 * px, F.col("y1") + F.col("y2") - 2 * py
+        return dx * dx + dy * dy
+
+    def broad(px, py):
+        return 4 * G.distance2(G.side(), px, py)
+
+    return knn.nearest(_orders(spark, d), *POINT, K, fine, broad).select("id", "dist", "rank")
+
+
+@query(_box_sql(f"select id, {S.distance2(str(POINT[0]), str(POINT[1]))} dist from boxes"))
+def h03_distance(spark, d):
+    return _orders(spark, d).select("id", G.distance2(G.side(), F.lit(POINT[0]), F.lit(POINT[1])).alias("dist"))
+
+
+@query(_knn_sql('select cast("rank" as integer) "rank", dist, string_agg(id::varchar, \',\' order by id) ids, count(*) n from ranked group by "rank", dist'))
+def h06_groups(spark, d):
+    return knn.groups(knn.nearest(_orders(spark, d), *POINT, K)).withColumn("ids", F.array_join("ids", ","))
+
+
+@query(_knn_sql("select count(*) total_len, count(distinct dist) len from ranked"))
+def h06_sizes(spark, d):
+    return knn.sizes(knn.nearest(_orders(spark, d), *POINT, K))
+
+
+@query(_box_sql(f"select pt_id, id, dist, cast(\"rank\" as integer) \"rank\" from (select *, dense_rank() over (partition by pt_id order by dist) \"rank\" from (select pt_id, id, {S.distance2('px', 'py')} dist from points, boxes)) where \"rank\" <= 3", S.POINTS))
+def h08_nearest_many(spark, d):
+    return knn.nearest_many(_orders(spark, d), tables.customer_points(spark, d), 3)
+
+
+# -- I: rays
+
+_RAY = ("9000", "200000", "1", "0")
+_CIRCLE = "(x1 + x2) / 2.0::double"
+
+
+@query(_box_sql("select id, t from ts where t = (select min(t) from ts)", f"ts as (select id, {S.ray_t(*_RAY)} t from boxes)"))
+def i01_cast(spark, d):
+    return ray.cast(_orders(spark, d), *map(int, _RAY)).select("id", "t")
+
+
+@query(_box_sql("select id, t from ts where t is not null", f"ts as (select id, {S.ray_t(*_RAY)} t from boxes)"))
+def i03_box_t(spark, d):
+    return _orders(spark, d).select("id", G.ray_t(G.side(), *(F.lit(int(v)) for v in _RAY)).alias("t")).where("t is not null")
+
+
+_CIRCLE_SQL = """ts as (select id, case when c <= 0 then 0.0::double when a > 0 and b * b - a * c >= 0 and (-b - sqrt(greatest(b * b - a * c, 0))) / a >= 0 then (-b - sqrt(greatest(b * b - a * c, 0))) / a end t from (
+  select id, 1.0::double a, 9000.0::double - cx b, (9000 - cx) * (9000 - cx) + (200000 - cy) * (200000 - cy) - 400.0 * 400.0 c from (select id, (x1 + x2) / 2.0::double cx, (y1 + y2) / 2.0::double cy from boxes)))"""
+
+
+@query(_box_sql("select id, cast(round(t * 1000) as bigint) milli from ts where t = (select min(t) from ts)", _CIRCLE_SQL))
+def i05_cast_circles(spark, d):
+    def fine(px, py, dx, dy):
+        return G.ray_circle_t((F.col("x1") + F.col("x2")) / F.lit(2.0), (F.col("y1") + F.col("y2")) / F.lit(2.0), F.lit(400.0), px, py, dx, dy)
+
+    def broad(px, py, dx, dy):
+        cx, cy = (F.col("x1") + F.col("x2")) / F.lit(2.0), (F.col("y1") + F.col("y2")) / F.lit(2.0)
+        return G.ray_t(G.Box(cx - 400, cx + 400, cy - 400, cy + 400), px, py, dx, dy)
+
+    return ray.cast(_orders(spark, d), *map(int, _RAY), fine, broad).select("id", F.round(F.col("t") * 1000).cast("long").alias("milli"))
+
+
+_MANY_RAYS = f"ts as (select ray_id, id, t from (select ray_id, id, {S.ray_t('px', 'py', 'dx', 'dy')} t from rays, boxes) where t is not null)"
+
+
+@query(_box_sql("select ray_id, id, t from ts where t = (select min(u.t) from ts u where u.ray_id = ts.ray_id)", S.RAYS, _MANY_RAYS))
+def i07_cast_many(spark, d):
+    return ray.cast_many(_orders(spark, d), tables.supplier_rays(spark, d))
+
+
+@query(_box_sql("select ray_id, coalesce(min(t), 800.0::double) t from rays left join ts using (ray_id) group by 1", S.RAYS, _MANY_RAYS))
+def i07_fan(spark, d):
+    return ray.fan(_orders(spark, d), tables.supplier_rays(spark, d), 800.0)
+
+
+# -- J: bodies
+
+_FORCE = "cast(round(coalesce(sum(b.mass * (b.{c} - a.{c}) / greatest(((b.px - a.px) * (b.px - a.px) + (b.py - a.py) * (b.py - a.py))::double, 1.0)), 0) * 1000000) as bigint) {n}"
+
+
+def _micro(df: DataFrame) -> DataFrame:
+    return df.select("id", F.round(F.col("fx") * 1_000_000).cast("long").alias("fx"), F.round(F.col("fy") * 1_000_000).cast("long").alias("fy"))
+
+
+_NBODY = S.ctes(S.BODIES) + f"select a.id, {_FORCE.format(c='px', n='fx')}, {_FORCE.format(c='py', n='fy')} from bodies a left join bodies b on a.id <> b.id group by 1"
+
+
+@query(_NBODY)
+def j07_forces_of_all_pairs(spark, d):
+    return _micro(nbody.naive(tables.supplier_bodies(spark, d)))
+
+
+@query(_NBODY)
+def j01_forces_by_tree_opened(spark, d):
+    return _micro(nbody.approximate(tree.build(tables.supplier_bodies(spark, d), 3), float("inf")))
+
+
+@query()
+def j01_forces_by_tree(spark, d):
+    return nbody.approximate(tree.build(tables.supplier_bodies(spark, d), 5), 200.0)
+
+
+_MASSES = S.ctes(S.BODIES, "boxes as (select id, px x1, px x2, py y1, py y2 from bodies)", *S.tree(3))
+
+
+@query(_MASSES + "select node_id >> s node_id, cast(sum(mass) as bigint) mass, cast(round(sum(mass * px)::double / sum(mass) * 1000000) as bigint) cx from (select el.*, unnest(range(0, level + 1)) s from el) join bodies using (id) group by 1")
+def j02_node_masses(spark, d):
+    got = nbody.node_masses(tree.build(tables.supplier_bodies(spark, d), 3))
+    return got.select("node_id", "mass", F.round(F.col("cx") * 1_000_000).cast("long").alias("cx"))
+
+
+@query(_MASSES + f"select a.id, {_FORCE.format(c='px', n='fx')}, {_FORCE.format(c='py', n='fy')} from (select * from bodies join (select id, node_id from el) using (id)) a left join (select * from bodies join (select id, node_id from el) using (id)) b on a.id <> b.id and a.node_id = b.node_id group by 1")
+def j05_within_nodes(spark, d):
+    return _micro(nbody.within_nodes(tree.build(tables.supplier_bodies(spark, d), 3)))
+
+
+@query(_MASSES + "select id, cast(round(sum(1.0::double * p.node_id / c.n) * 1000000) as bigint) fx, cast(0 as bigint) fy from (select id, node_id >> s node_id from (select el.*, unnest(range(0, level + 1)) s from el)) p join (select node_id, n from under) c using (node_id) group by 1")
+def j06_spread(spark, d):
+    t = tree.build(tables.supplier_bodies(spark, d), 3)
+    return _micro(nbody.spread(t, t.nodes.select("node_id", F.col("node_id").cast("double").alias("fx"), F.lit(0.0).alias("fy"))))
+
+
+# -- K: caching
+
+
+@query(_box_sql("select id_a, id_b, least(a.y1, b.y1) d from pairs join boxes a on a.id = id_a join boxes b on b.id = id_b where a.x1 >= 10000", S.PAIRS))
+def k01_cached_pairs(spark, d):
+    session = cache.Session(_orders(spark, d))
+    kept = session.colliding_pairs(F.col("a_x1") >= 10000, F.least("a_y1", "b_y1"))
+    return session.handle(kept).select("id_a", "id_b", "d")
+
+
+@query(_box_sql("select id, x2 - x1 d from boxes where y1 > 100000"))
+def k02_cached_elements(spark, d):
+    session = cache.Session(_orders(spark, d))
+    return session.handle(session.elements(F.col("y1") > 100000, F.col("x2") - F.col("x1"))).select("id", "d")
+
+
+@query(_box_sql("select id, 100 * (count(e.id) + 1) total from boxes b left join ends e using (id) group by 1", S.PAIRS, S.ENDS))
+def k03_replay(spark, d):
+    df = _orders(spark, d)
+    with_ends = pairs.degree(df, cache.Session(df).colliding_pairs().select("id_a", "id_b"))
+    return with_ends.select("id", (100 * (F.col("degree") + 1)).alias("total"))
+
+
+# -- L: verification
+
+
+@query("select 'grid' variant, 0::bigint n union all select 'sweep', 0 union all select 'tree', 0")
+def l02_variants_agree(spark, d):
+    df = _orders(spark, d)
+    want = pairs.grid(df)
+    out = None
+    for name, got in (("grid", want), ("sweep", pairs.sweep(df)), ("tree", tree.pairs(tree.build(df)))):
+        row = verify.differences(want, got).agg(F.count("*").alias("n")).select(F.lit(name).alias("variant"), "n")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query()
+def l06_candidates(spark, d):
+    return spark.createDataFrame([(verify.candidates(_orders(spark, d)),)], "candidates long")
+
+
+# -- M: composites
+
+
+@query(_box_sql(f"select id, case when x1 < {NEAR[0]} then 1 when x2 > {NEAR[1]} then -1 else 0 end vx, case when y1 < {NEAR[2]} then 1 when y2 > {NEAR[3]} then -1 else 0 end vy from boxes where not ({S.inside(NEAR)})"))
+def m01_bounce_at_border(spark, d):
+    vx = F.when(F.col("x1") < NEAR[0], 1).when(F.col("x2") > NEAR[1], -1).otherwise(0)
+    vy = F.when(F.col("y1") < NEAR[2], 1).when(F.col("y2") > NEAR[3], -1).otherwise(0)
+    return rect.not_inside(_orders(spark, d), NEAR).select("id", vx.alias("vx"), vy.alias("vy"))
+
+
+@query(_box_sql(f"select id, x1 + x2 - 2 * {POINT[0]} vx, y1 + y2 - 2 * {POINT[1]} vy from boxes where {S.inside(NEAR)}"))
+def m02_repel_near_point(spark, d):
+    return rect.inside(_orders(spark, d), NEAR).select("id", (F.col("x1") + F.col("x2") - 2 * POINT[0]).alias("vx"), (F.col("y1") + F.col("y2") - 2 * POINT[1]).alias("vy"))
+
+
+@query(_box_sql(f"select a.id, count(*) walls, min(b.rect_id) wall from boxes a join rects b on {S.IN} group by 1", S.RECTS))
+def m03_walls(spark, d):
+    hit = rect.inside_many(_orders(spark, d), tables.part_rects(spark, d))
+    return hit.groupBy("id").agg(F.count("*").alias("walls"), F.min("rect_id").alias("wall"))
+
+
+@query(_box_sql(f"select f.id, x1 + sign(fx)::bigint x1, x2 + sign(fx)::bigint x2, y1 + sign(fy)::bigint y1, y2 + sign(fy)::bigint y2 from f join boxes using (id) where {S.inside(NEAR)}", S.PAIRS, S.ENDS, "f as (select x.id, coalesce(sum(x.x1 + x.x2 - o.x1 - o.x2), 0) fx, coalesce(sum(x.y1 + x.y2 - o.y1 - o.y2), 0) fy from boxes x left join ends e on e.id = x.id left join boxes o on o.id = e.other group by 1)"))
+def m04_liquid_step(spark, d):
+    df = _orders(spark, d)
+    moved = rect.inside(df, NEAR).join(pairs.push_apart(df, pairs.grid(df)), "id")
+    sx, sy = F.signum("fx").cast("long"), F.signum("fy").cast("long")
+    return moved.select("id", (F.col("x1") + sx).alias("x1"), (F.col("x2") + sx).alias("x2"), (F.col("y1") + sy).alias("y1"), (F.col("y2") + sy).alias("y2"))
+
+
+@query(_box_sql("select rg.node_id, rg.x1, rg.x2, rg.y1, rg.y2, el.id from rg join el using (node_id)", *S.tree(3), *_regions(3)))
+def m05_dividers_with_elements(spark, d):
+    t = tree.build(_orders(spark, d), 3)
+    return tree.regions(t, WORLD).drop("level").join(t.elements.select("node_id", "id"), "node_id")
+
+
+@query(_box_sql("select id, (x1 + 7 - 9000) % 3000 + 9000 x1, (x1 + 7 - 9000) % 3000 + 9000 + x2 - x1 x2, (y1 + 1000) % 600000 y1, (y1 + 1000) % 600000 + y2 - y1 y2 from boxes"))
+def m06_move_and_wrap(spark, d):
+    x, y = (F.col("x1") + 7 - WORLD[0]) % 3000 + WORLD[0], (F.col("y1") + 1000) % 600000
+    return _orders(spark, d).select("id", x.alias("x1"), (x + F.col("x2") - F.col("x1")).alias("x2"), y.alias("y1"), (y + F.col("y2") - F.col("y1")).alias("y2"))
