@@ -34,6 +34,8 @@ BLOCK_ROWS = 4096
 #: Rows that a part should hold, and how many of the sample it takes at least to learn a part.
 PART_ROWS, PART_SAMPLE = 500, 48
 TARGET_RECALL = 0.97
+#: Rows that are scored against the whole sample at once on the driver.
+LOT = 128
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -48,8 +50,8 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
     """For each row the k others with the largest inner product."""
     n, out = len(x), []
-    for a in range(0, n, 1024):
-        g = x[a : a + 1024] @ x.T
+    for a in range(0, n, LOT):
+        g = x[a : a + LOT] @ x.T
         g[np.arange(len(g)), np.arange(a, a + len(g))] = -np.inf
         top = np.argpartition(-g, k - 1, axis=1)[:, :k]
         out.append(np.take_along_axis(top, np.argsort(-np.take_along_axis(g, top, 1), axis=1, kind="stable"), 1))
@@ -160,9 +162,13 @@ def fit(sample: np.ndarray, total: int, k: int = NEIGHBOURS, target_recall: floa
     router = learn(sample, target / target.sum(axis=1, keepdims=True))
     # how many parts must be visited: measured on sample rows against their exact neighbours in the sample
     held = np.random.default_rng(1).permutation(n)[:1000]
-    score = sample[held] @ sample.T
-    score[np.arange(len(held)), held] = -np.inf
-    true = np.argpartition(-score, min(k, n - 1) - 1, axis=1)[:, : min(k, n - 1)]
+    true = []
+    for lot in np.array_split(held, -(-len(held) // LOT)):
+        score = sample[lot] @ sample.T
+        score[np.arange(len(lot)), lot] = np.inf  # itself, cut off below
+        true.append(np.argpartition(-score, min(k, n - 1), axis=1)[:, : min(k, n - 1) + 1])
+    true = np.concatenate(true)
+    true = true[true != held[:, None]].reshape(len(held), -1)[:, : min(k, n - 1)]
     home = router.ranked(sample, 1)[:, 0]
     at = np.argsort(np.argsort(-router.logits(sample[held]), axis=1, kind="stable"), axis=1)
     rank = np.take_along_axis(at, home[true], axis=1)
@@ -197,8 +203,9 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_c
     tune(spark)
     rows = usable(vectors, id_col, vec_col)
     total = rows.count()
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(max_sample).toPandas()
-    x = np.stack(sample["vec"]) if total else np.zeros((0, 1))
+    sample = rows.orderBy(F.xxhash64("id"), "id").limit(max_sample).select("vec").toArrow()
+    x = _matrix(sample.column("vec").combine_chunks()) if total else np.zeros((0, 1))
+    del sample
     router = fit(x, total, k)
     shared = spark.sparkContext.broadcast(router)  # a few hundred kB, however many rows there are
     placed_schema = pa.schema([("part", pa.int32()), ("id", pa.int64()), ("vec", pa.list_(pa.float64()))])
