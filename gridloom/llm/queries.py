@@ -86,4 +86,28 @@ select page_id, cast(strlen(p.html) as bigint) payload_bytes, sha1(p.html) paylo
   case when keep is not null and page_id is distinct from keep then 'revisit' else 'response' end record_type,
   case when page_id is distinct from keep then keep end refers_to
 from p left join k on p.html = k.html""",
+        "op7_jaccard_join": r"""
+with recursive w as (select doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') ws from documents where text is not null),
+s as (select distinct doc_id, unnest(case when len(ws) < 5 then [array_to_string(ws, ' ')]
+  else list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) end) g from w where len(ws) > 0),
+n as (select doc_id, count(*) n from s group by 1),
+p as (select a.doc_id a, b.doc_id b, count(*) c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as materialized (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 5 * c >= 4 * (x.n + y.n - c)),
+e as materialized (select a, b from l union all select b, a from l),
+r as (select a doc_id, a other from e union select r.doc_id, e.b from r join e on e.a = r.other)
+select d.doc_id, coalesce((select min(other) from r where r.doc_id = d.doc_id), d.doc_id) class_id,
+  (select count(*) from e where e.a = d.doc_id) n_links from documents d""",
+        "op9_suffix_dedup": """
+with d as materialized (select doc_id, hex(encode(coalesce(text, ''))) h, strlen(coalesce(text, '')) n from documents),
+win as materialized (select doc_id, i, md5_number(substring(h, 2 * i + 1, 400)) k from (select doc_id, h, unnest(range(0, n - 199)) i from d)),
+st as (select doc_id, i from win where k in (select k from win group by k having count(*) > 1)),
+marked as (select *, case when i - lag(i) over (partition by doc_id order by i) <= 200 then 0 else 1 end fresh from st),
+island as (select *, sum(fresh) over (partition by doc_id order by i) g from marked),
+gone as (select doc_id, min(i) a, max(i) + 200 b from island group by doc_id, g),
+cut as (select doc_id, coalesce(lag(b) over (partition by doc_id order by a), 0) f, a t from gone
+  union all select doc_id, max(b), max(n) from gone join d using (doc_id) group by 1),
+kept as (select doc_id, string_agg(substring(h, 2 * f + 1, 2 * (t - f)), '' order by f) k from cut join d using (doc_id) group by 1)
+select doc_id, cast(n as bigint) n_bytes, cast(coalesce(sum(b - a), 0) as bigint) n_removed, count(a) n_spans,
+  sha256(unhex(coalesce(any_value(k), any_value(h)))) kept_sha256
+from d left join gone using (doc_id) left join kept using (doc_id) group by doc_id, n""",
     }
