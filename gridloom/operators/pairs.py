@@ -87,21 +87,32 @@ def every_pair(df: DataFrame) -> DataFrame:
     return a.join(b, F.col("a.id") < F.col("b.id")).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
 
 
-def sweep(df: DataFrame, width: float | None = None) -> DataFrame:
-    """All colliding pairs by bins of the x axis; the y axis is a residual condition. A bin is as wide as a few mean
-    boxes; boxes that span many bins live in coarser ones, as in grid()."""
+def _overlaps(df: DataFrame) -> tuple[float, float]:
+    """On each axis, about which share of all boxes a box's range meets."""
+    w, h = F.avg(F.col("x2") - F.col("x1")), F.avg(F.col("y2") - F.col("y1"))
+    row = df.agg(w.alias("w"), h.alias("h"), (F.max("x2") - F.min("x1")).alias("x"), (F.max("y2") - F.min("y1")).alias("y")).first()
+    return tuple(float(row[mean] or 0) / (float(row[span] or 0) + 1e-300) for mean, span in (("w", "x"), ("h", "y")))
+
+
+def sweep(df: DataFrame, width: float | None = None, axis: int | None = None) -> DataFrame:
+    """All colliding pairs by bins of one axis, by default the one on which fewer boxes overlap; the other axis is a
+    residual condition. A bin is as wide as a few mean boxes; boxes that span many bins live in coarser ones, as in grid()."""
     boxes = _slim(df)
-    cell = (width or _base(boxes)[0], float("inf"))
-    need = F.greatest((F.col("x2") - F.col("x1")) / F.lit(cell[0]), F.lit(1.0))
+    if axis is None:
+        on_x, on_y = _overlaps(boxes)
+        axis = 0 if on_x <= on_y else 1
+    lo, hi = ("x1", "x2") if axis == 0 else ("y1", "y2")
+    cell = width or _base(boxes)[axis]
+    need = F.greatest((F.col(hi) - F.col(lo)) / F.lit(cell), F.lit(1.0))
     boxes = boxes.withColumn("own", F.ceil(F.log(need) / F.log(F.lit(float(GROWTH))) - F.lit(1e-9)).cast("int"))
     classes = sorted(r["own"] for r in boxes.select("own").distinct().collect())
     out = boxes.withColumn("size", F.explode(F.filter(F.array(*(F.lit(c) for c in classes)), lambda c: c >= F.col("own"))))
-    out = out.withColumn("cw", F.lit(cell[0]) * F.pow(F.lit(float(GROWTH)), F.col("size")))
-    bins = out.withColumn("cx", _covered(F.floor(F.col("x1") / F.col("cw")), F.floor(F.col("x2") / F.col("cw"))))
+    out = out.withColumn("cw", F.lit(cell) * F.pow(F.lit(float(GROWTH)), F.col("size")))
+    bins = out.withColumn("bin", _covered(F.floor(F.col(lo) / F.col("cw")), F.floor(F.col(hi) / F.col("cw"))))
     a, b = bins.where("size = own").alias("a"), bins.alias("b")
     once = (F.col("b.own") < F.col("b.size")) | (F.col("a.id") < F.col("b.id"))
-    here = F.floor(F.greatest("a.x1", "b.x1") / F.col("a.cw")) == F.col("a.cx")
-    hit = a.join(b, (F.col("a.size") == F.col("b.size")) & (F.col("a.cx") == F.col("b.cx")) & once & intersects(side("a."), side("b.")) & here)
+    here = F.floor(F.greatest(f"a.{lo}", f"b.{lo}") / F.col("a.cw")) == F.col("a.bin")
+    hit = a.join(b, (F.col("a.size") == F.col("b.size")) & (F.col("a.bin") == F.col("b.bin")) & once & intersects(side("a."), side("b.")) & here)
     return hit.select(F.least("a.id", "b.id").alias("id_a"), F.greatest("a.id", "b.id").alias("id_b"))
 
 
