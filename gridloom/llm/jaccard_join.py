@@ -33,7 +33,7 @@ WORDS = 5
 THRESHOLD = 0.8
 RECALL = 0.999
 #: A block of a component holds about this many representatives or this many shingles.
-BLOCK_ROWS, BLOCK_SHINGLES = 2048, 4_000_000
+BLOCK_ROWS, BLOCK_SHINGLES = 256, 1_000_000
 
 
 def bands_for(threshold: float, recall: float, most: int = 150) -> tuple[int, int]:
@@ -219,7 +219,8 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
         rows.where("size > 0 and doc_id is not null").groupBy(*name).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("size").alias("size"), F.first("bands").alias("bands")), "reps"
     )
     members = reps.select("rep", F.posexplode("bands").alias("band", "hash"))
-    shared = members.groupBy("band", "hash").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # written apart, so that the join's sides are plain shuffles, of which a hot bucket can be split
+    shared = materialise(members.groupBy("band", "hash").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n"), "shared")
     links = members.join(shared, ["band", "hash"]).where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b"))
     label = components(links)
     placed = label.withColumnRenamed("id", "rep").join(reps.select("rep", "copies", "size", "set_a"), "rep")
