@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -28,9 +28,11 @@ def components(edges: DataFrame) -> DataFrame:
             differ.select(F.greatest("la", "lb").alias("label"), F.least("la", "lb").alias("to")).groupBy("label").agg(F.min("to").alias("to")), "hooks"
         )
         if hooks.isEmpty():
+            discard(edges, hooks)
             return labels
         # follow hooks of hooks once, then relabel; the labels' roots shrink at least by half in chains
         nxt = hooks.select(F.col("label").alias("to"), F.col("to").alias("to2"))
-        hooks = hooks.join(nxt, "to", "left").select("label", F.coalesce("to2", "to").alias("to"))
-        moved = labels.join(hooks, "label", "left").select("id", F.coalesce("to", "label").alias("label"))
-        labels = materialise(moved, "labels")
+        further = hooks.join(nxt, "to", "left").select("label", F.coalesce("to2", "to").alias("to"))
+        moved = labels.join(further, "label", "left").select("id", F.coalesce("to", "label").alias("label"))
+        old, labels = labels, materialise(moved, "labels")
+        discard(old, hooks)
