@@ -51,12 +51,21 @@ def _in_reference_cell(a: Box, b: Box) -> Column:
     return (F.floor(F.greatest(a.x1, b.x1) / F.col("a.cw")) == F.col("a.cx")) & (F.floor(F.greatest(a.y1, b.y1) / F.col("a.ch")) == F.col("a.cy"))
 
 
+def _classes(boxes: DataFrame, cell: tuple[float, float], largest: tuple[float, float]) -> list[int]:
+    """The size classes in use: one if the largest box fits the finest cells, else as found; a logarithm of it at most."""
+    if largest[0] <= cell[0] and largest[1] <= cell[1]:
+        return [0]
+    return sorted(r["own"] for r in boxes.select("own").distinct().collect())
+
+
 def grid(df: DataFrame, cell: tuple[float, float] | None = None) -> DataFrame:
     """All colliding pairs."""
     boxes = _slim(df)
-    cell = cell or _base(boxes)
+    w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    mean_w, mean_h, *largest = (float(v or 0) for v in boxes.agg(F.avg(w), F.avg(h), F.max(w), F.max(h)).first())
+    cell = cell or (2 * mean_w + 1, 2 * mean_h + 1)
     boxes = boxes.withColumn("own", _size_class(cell))
-    classes = sorted(r["own"] for r in boxes.select("own").distinct().collect())  # a logarithm of the largest box
+    classes = _classes(boxes, cell, tuple(largest))
     cells = _cells(boxes, cell, classes)
     a, b = cells.where("size = own").alias("a"), cells.alias("b")
     same = (F.col("a.size") == F.col("b.size")) & (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy"))
