@@ -232,7 +232,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     tune(spark)
     rows = _rows(docs)
-    shared = _occurrences(rows, True).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    # written apart, so that the join's sides are plain shuffles, of which a hot anchor can be split
+    shared = materialise(_occurrences(rows, True).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
     occ = materialise(_occurrences(rows, False).join(shared, "key", "left_semi"), "occurrences")
     one = F.min(F.struct("doc", "crc", "q0", "lead", "nq")).alias("one")
     contexts = materialise(occ.groupBy("key", "ctx").agg(F.count("*").alias("n"), one), "contexts")
