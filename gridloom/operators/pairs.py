@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Box, contains, intersects, side
-from ..plans.lineage import cut
+from ..plans.lineage import cut, spread
 
 GROWTH = 4
 
@@ -33,10 +33,16 @@ def _covered(lo: Column, hi: Column) -> Column:
     return F.explode(F.sequence(lo, hi))
 
 
+def _sized(df: DataFrame, classes: list[int]) -> DataFrame:
+    """A row for each size class in use from the box's own on."""
+    if len(classes) == 1:
+        return df.withColumn("size", F.lit(classes[0]))
+    return df.withColumn("size", F.explode(F.filter(F.array(*(F.lit(c) for c in classes)), lambda c: c >= F.col("own"))))
+
+
 def _cells(df: DataFrame, cell: tuple[float, float], classes: list[int]) -> DataFrame:
     """A row for each cell that a box touches, at its own size and at every larger one in use."""
-    sizes = F.filter(F.array(*(F.lit(c) for c in classes)), lambda c: c >= F.col("own"))
-    out = df.withColumn("size", F.explode(sizes))
+    out = _sized(df, classes)
     scale = F.pow(F.lit(float(GROWTH)), F.col("size"))
     out = out.withColumns({"cw": F.lit(cell[0]) * scale, "ch": F.lit(cell[1]) * scale})
     out = out.withColumn("cx", _covered(F.floor(F.col("x1") / F.col("cw")), F.floor(F.col("x2") / F.col("cw"))))
@@ -66,7 +72,7 @@ def grid(df: DataFrame, cell: tuple[float, float] | None = None) -> DataFrame:
     cell = cell or (2 * mean_w + 1, 2 * mean_h + 1)
     boxes = boxes.withColumn("own", _size_class(cell))
     classes = _classes(boxes, cell, tuple(largest))
-    cells = _cells(boxes, cell, classes)
+    cells = _cells(spread(boxes), cell, classes)
     a, b = cells.where("size = own").alias("a"), cells.alias("b")
     same = (F.col("a.size") == F.col("b.size")) & (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy"))
     once = (F.col("b.own") < F.col("b.size")) | (F.col("a.id") < F.col("b.id"))
@@ -115,7 +121,7 @@ def sweep(df: DataFrame, width: float | None = None, axis: int | None = None) ->
     need = F.greatest((F.col(hi) - F.col(lo)) / F.lit(cell), F.lit(1.0))
     boxes = boxes.withColumn("own", F.ceil(F.log(need) / F.log(F.lit(float(GROWTH))) - F.lit(1e-9)).cast("int"))
     classes = sorted(r["own"] for r in boxes.select("own").distinct().collect())
-    out = boxes.withColumn("size", F.explode(F.filter(F.array(*(F.lit(c) for c in classes)), lambda c: c >= F.col("own"))))
+    out = _sized(spread(boxes), classes)
     out = out.withColumn("cw", F.lit(cell) * F.pow(F.lit(float(GROWTH)), F.col("size")))
     bins = out.withColumn("bin", _covered(F.floor(F.col(lo) / F.col("cw")), F.floor(F.col(hi) / F.col("cw"))))
     a, b = bins.where("size = own").alias("a"), bins.alias("b")
@@ -136,13 +142,13 @@ def between(a: DataFrame, b: DataFrame, mode: str = "contained", cell: tuple[flo
         # what is contained is no larger than what contains it: find it in the cell of its own corner at the container's size
         classes = sorted(r["own"] for r in right.select("own").distinct().collect())
         corner = left.withColumns({"x2k": F.col("x2"), "y2k": F.col("y2"), "x2": F.col("x1"), "y2": F.col("y1")})
-        small = _cells(corner, cell, classes).withColumns({"x2": F.col("x2k"), "y2": F.col("y2k")}).alias("a")
-        large = _cells(right, cell, classes).where("size = own").alias("b")
+        small = _cells(spread(corner), cell, classes).withColumns({"x2": F.col("x2k"), "y2": F.col("y2k")}).alias("a")
+        large = _cells(spread(right), cell, classes).where("size = own").alias("b")
         same = (F.col("a.size") == F.col("b.size")) & (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy"))
         hit = small.join(large, same & contains(side("b."), side("a.")))
         return hit.select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
     classes = sorted({r["own"] for df in (left, right) for r in df.select("own").distinct().collect()})
-    one, two = _cells(left, cell, classes).alias("a"), _cells(right, cell, classes).alias("b")
+    one, two = _cells(spread(left), cell, classes).alias("a"), _cells(spread(right), cell, classes).alias("b")
     same = (F.col("a.size") == F.col("b.size")) & (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy"))
     larger = F.col("a.size") == F.greatest("a.own", "b.own")
     hit = one.join(two, same & larger & intersects(side("a."), side("b.")) & _in_reference_cell(side("a."), side("b.")))

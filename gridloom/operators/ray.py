@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import ray_t, side
-from ..plans.lineage import MAX_BROADCAST_ROWS
+from ..plans.lineage import MAX_BROADCAST_ROWS, spread
 
 Hit = Callable[[Column, Column, Column, Column], Column]
 
@@ -29,7 +29,7 @@ def cast_many(df: DataFrame, rays: DataFrame, fine: Hit | None = None, broad: Hi
     Rays are broadcast in lots of at most MAX_BROADCAST_ROWS; each task keeps a minimum for each ray before
     anything is shuffled."""
     lots = max(1, -(-rays.count() // MAX_BROADCAST_ROWS))
-    found = None
+    found, df = None, spread(df)
     for lot in range(lots):
         own = rays if lots == 1 else rays.where(F.pmod(F.xxhash64("ray_id"), F.lit(2 * lots)).isin(2 * lot, 2 * lot + 1))
         ray = tuple(F.col(c) for c in ("px", "py", "dx", "dy"))

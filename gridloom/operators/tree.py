@@ -5,14 +5,17 @@ root splits along x, levels alternate. A node's divider is the start, along its
 n / 2 in start order; elements that touch the divider stay, others go left or right; leaves keep all.
 Which element goes where depends on values only, so the tables can be compared row by row.
 
-The build loops over levels. While a node is large its median is found by narrowing histograms, which
-sum in every task before they meet; once all nodes are small a window in each node finds it.
+The build loops over levels while nodes are large, and finds their medians by narrowing histograms, which sum in
+every task before they meet, or by a window in each node. Once every node is small, each goes to a task
+with all that lies beneath it, which finishes the subtree in memory: one shuffle for all deeper levels.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +27,8 @@ PER_LEAF = 80
 #: A node with more elements finds its median by histograms.
 WINDOW_ROWS = 1_000_000
 BINS = 1024
+#: A node with at most this many elements is finished in one task.
+SUBTREE_ROWS = 50_000
 
 
 def default_levels(n: int, per_leaf: int = PER_LEAF) -> int:
@@ -87,16 +92,16 @@ def build(df: DataFrame, levels: int | None = None) -> Tree:
     n = df.count()
     levels = default_levels(n) if levels is None else levels
     elements = df.withColumns({"node_id": F.lit(1).cast("long"), "level": F.lit(0), "_open": F.lit(levels > 1)})
-    dividers = None
-    largest = n
+    largest = n  # at most; a median halves
     for level in range(levels - 1):
+        if largest <= SUBTREE_ROWS:
+            elements = _finish(elements, level, levels)
+            break
         start, end = _axis(level)
         active = elements.where("_open")
         # only nodes of a level that may hold many elements, and those are few, are counted on the driver
         by_histogram = largest > WINDOW_ROWS and 2**level <= 4096
-        medians = _medians_by_histogram(active, start) if by_histogram else _medians_by_window(active, start)
-        medians = cut(medians)
-        dividers = medians if dividers is None else dividers.unionByName(medians)
+        medians = cut(_medians_by_histogram(active, start) if by_histogram else _medians_by_window(active, start))
         largest = largest // 2 + 1
         side_table = medians if 2**level > MAX_BROADCAST_ROWS else F.broadcast(medians)  # at most 2**level rows
         go = F.when(~F.col("_open"), 0).when(F.col(end) < F.col("div"), 1).when(F.col(start) > F.col("div"), 2).otherwise(0)
@@ -111,15 +116,48 @@ def build(df: DataFrame, levels: int | None = None) -> Tree:
         if level % 3 == 2:
             elements = cut(elements)
     elements = cut(elements.drop("_open"))
-    return Tree(elements, _nodes(elements, dividers, levels), levels)
-
-
-def _nodes(elements: DataFrame, dividers: DataFrame | None, levels: int) -> DataFrame:
+    return Tree(elements, _nodes(elements, levels), levels)
+
+
+def place(x1: np.ndarray, x2: np.ndarray, y1: np.ndarray, y2: np.ndarray, node_id: int, level: int, levels: int) -> tuple[np.ndarray, np.ndarray]:
+    """Node and level of each element of the subtree of node_id, which stands on level."""
+    node, depth = np.full(len(x1), node_id, np.int64), np.full(len(x1), level, np.int32)
+    open_ = np.arange(len(x1))
+    for k in range(level, levels - 1):
+        start, end = (x1, x2) if k % 2 == 0 else (y1, y2)
+        s, e, own = start[open_], end[open_], node[open_]
+        order = np.lexsort((s, own))
+        _, first, group, n = np.unique(own[order], return_index=True, return_inverse=True, return_counts=True)
+        div = np.empty(len(order), s.dtype)
+        div[order] = s[order][first + n // 2][group]
+        left, right = e < div, s > div
+        node[open_] = np.where(left, 2 * own, np.where(right, 2 * own + 1, own))
+        open_ = open_[left | right]
+        depth[open_] = k + 1
+    return node, depth
+
+
+def _finish(elements: DataFrame, level: int, levels: int) -> DataFrame:
+    """Place what is still open, and stands on level, in the levels beneath; payload stays as it is."""
+    open_, shut = elements.where("_open"), elements.where("not _open")
+    schema = elements.schema
+
+    def run(key, table):
+        sides = (table.column(c).to_numpy() for c in ("x1", "x2", "y1", "y2"))
+        node, depth = place(*sides, key[0].as_py(), level, levels)
+        out = table.set_column(table.schema.get_field_index("node_id"), "node_id", pa.array(node, pa.int64()))
+        return out.set_column(out.schema.get_field_index("level"), "level", pa.array(depth, pa.int32()))
+
+    done = open_.groupBy("node_id").applyInArrow(run, schema)
+    return done if level == 0 else done.unionByName(shut)
+
+
+def _nodes(elements: DataFrame, levels: int) -> DataFrame:
     spark = elements.sparkSession
     on_x = F.col("level") % 2 == 0
-    own = elements.groupBy("node_id").agg(
-        F.min(F.when(on_x, F.col("x1")).otherwise(F.col("y1"))).alias("cont_start"), F.max(F.when(on_x, F.col("x2")).otherwise(F.col("y2"))).alias("cont_end"), F.count("*").alias("n")
-    )
+    start, end = F.when(on_x, F.col("x1")).otherwise(F.col("y1")), F.when(on_x, F.col("x2")).otherwise(F.col("y2"))
+    # the element that gives a node its divider stays in it, and none there starts later
+    own = elements.groupBy("node_id").agg(F.min(start).alias("cont_start"), F.max(end).alias("cont_end"), F.count("*").alias("n"), F.max(F.when(F.col("level") < levels - 1, start)).alias("div"))
     ids = spark.range(1, 2**levels).toDF("node_id")
     level = F.floor(F.log2(F.col("node_id") + F.lit(0.5))).cast("int")
     # how many stand under each node: every node's own count goes to all its ancestors
@@ -128,9 +166,7 @@ def _nodes(elements: DataFrame, dividers: DataFrame | None, levels: int) -> Data
     kids = ids.where(F.col("node_id") > 1).join(under, "node_id", "left").groupBy(F.expr("node_id div 2").alias("node_id"))
     fewest = kids.agg(F.min(F.coalesce("under", F.lit(0))).alias("min_elem"))
     out = ids.withColumn("level", level).join(own, "node_id", "left").join(fewest, "node_id", "left")
-    kind = dict(elements.dtypes)["x1"]
-    out = out.join(dividers, "node_id", "left") if dividers is not None else out.withColumn("div", F.lit(None).cast(kind))
-    zero = F.lit(0).cast(kind)
+    zero = F.lit(0).cast(dict(elements.dtypes)["x1"])
     return out.select(
         "node_id", "level", (F.col("level") % 2).cast("int").alias("axis"), "div", F.coalesce("cont_start", zero).alias("cont_start"), F.coalesce("cont_end", zero).alias("cont_end"),
         F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("min_elem", F.lit(0)).alias("min_elem"),

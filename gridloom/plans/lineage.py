@@ -13,6 +13,16 @@ MAX_BROADCAST_ROWS = 65_536
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the folder the cluster names in spark.checkpoint.dir, or a temporary one where that is unset."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gridloom-"))
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridloom-"))
     return df.checkpoint()
+
+
+#: Tables estimated below this many bytes may come in one partition or a few, whatever work their rows stand for.
+SMALL_BYTES = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a small table's rows to all cores before a join multiplies them; larger ones stay as they were read."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL_BYTES else df

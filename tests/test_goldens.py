@@ -135,12 +135,18 @@ def test_nearest_many(spark):
     assert got == sorted(want)
 
 
-def test_medians_by_histogram(spark, monkeypatch):
+def test_build_in_memory_by_window_and_by_histogram(spark, monkeypatch):
     df = table(spark, random_boxes(6, 900, extent=10**6))
-    want = sorted(map(tuple, tree.build(df, 5).nodes.collect()))
-    monkeypatch.setattr(tree, "WINDOW_ROWS", 10)
+    whole = tree.build(df, 5)
+    want = sorted(map(tuple, whole.nodes.collect()))
+    places = {r["id"]: r["node_id"] for r in whole.elements.collect()}
     monkeypatch.setattr(tree, "BINS", 16)
-    assert sorted(map(tuple, tree.build(df, 5).nodes.collect())) == want
+    for subtree, window in ((300, 10**6), (0, 10**6), (0, 10), (120, 10)):
+        monkeypatch.setattr(tree, "SUBTREE_ROWS", subtree)
+        monkeypatch.setattr(tree, "WINDOW_ROWS", window)
+        t = tree.build(df, 5)
+        assert sorted(map(tuple, t.nodes.collect())) == want
+        assert {r["id"]: r["node_id"] for r in t.elements.collect()} == places
 
 
 def test_saving(spark):
