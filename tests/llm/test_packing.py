@@ -60,3 +60,10 @@ def test_pack(spark, tokens):
         seq = seq.sort_values("offset")
         assert list(seq["offset"]) == [0, *np.cumsum(seq["length"])[:-1]] and seq["length"].sum() <= 1024
     assert packing.pack(df.limit(0), tokens).count() == 0
+
+
+def test_every_plain_character_is_split_alike(tokens):
+    exact = packing.Tokenization(tokens.json_path)
+    for c in map(chr, range(packing.PLAIN + 1)):
+        for text in (f"a{c}b", f" {c}{c} 1{c}", f"{c}'s {c}\n", f"x  {c}  y", c, f"{c}  "):
+            assert tokens.ids(text) == exact.ids(text), repr(text)
