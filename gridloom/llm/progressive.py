@@ -426,10 +426,15 @@ def _refine_code(pos, bits, lut, one):
 
 
 def _ac_refine(coef, order, lo, hi, bits, scan) -> None:
+    single = bits.single()
+    for s in range(0, len(lo), STRIP):
+        _ac_refine_lanes(coef, order, bits.start[s : s + STRIP].copy(), lo[s : s + STRIP], hi[s : s + STRIP], bits, single, scan)
+
+
+def _ac_refine_lanes(coef, order, pos, lo, hi, bits, single, scan) -> None:
     lut, one = lookup(scan.ac), 1 << scan.low
-    pos, b, end = bits.start.copy(), lo.copy(), hi
+    b, end = lo.copy(), hi
     eob = np.zeros(len(lo), np.int64)
-    single = bits.single()
     rows = coef.reshape(-1, 64)
     while len(b):
         blocks = order[b]
@@ -494,24 +499,38 @@ def coefficients(files: list[File]) -> list[np.ndarray]:
     return [coef[64 * a : 64 * b].reshape(-1, 64) for a, b in zip(begin[:-1], begin[1:], strict=True)]
 
 
+#: Blocks that are transformed, coded or refined at once: what a very large picture takes beyond its own arrays.
+STRIP = 1 << 15
+
+
 def tensor(file: File, coef: np.ndarray) -> np.ndarray:
     """Samples of all components at full resolution, height by width by 3, as RGB; one component stands for all three."""
-    bases, planes = file.layout.bases(), []
-    mh, mv = file.layout.most
-    for c, (h, v) in enumerate(file.layout.sampling):
-        rows, cols = file.layout.grid(c)
-        values = coef[bases[c] : bases[c + 1]] * file.quant[c].astype(np.float64)
-        # a hair above a half, so that a tie falls the same way whatever the order of the sums
-        samples = np.clip(np.floor(values @ inverse_basis() + (128.5 + 1e-7)), 0, 255).astype(np.uint8)
-        plane = samples.reshape(rows, cols, 8, 8).transpose(0, 2, 1, 3).reshape(rows * 8, cols * 8)
-        planes.append(plane.repeat(mv // v, 0).repeat(mh // h, 1)[: file.layout.height, : file.layout.width])
-    if len(planes) == 1:
-        return np.repeat(planes[0][:, :, None], 3, 2)
-    y, cb, cr = (p.astype(np.int32) for p in planes)
-    cb, cr = cb - 128, cr - 128
-    half = 1 << 15
-    rgb = np.stack([y + (91881 * cr + half >> 16), y - (22554 * cb + 46802 * cr + half >> 16), y + (116130 * cb + half >> 16)], 2)
-    return np.clip(rgb, 0, 255).astype(np.uint8)
+    lay, bases = file.layout, file.layout.bases()
+    mh, mv = lay.most
+    across, down = lay.mcus
+    out = np.empty((lay.height, lay.width, 3), np.uint8)
+    step = max(1, STRIP // (across * mh * mv))
+    for top in range(0, down, step):
+        rows_of = range(top, min(down, top + step))
+        planes = []
+        for c, (h, v) in enumerate(lay.sampling):
+            cols, rows = lay.grid(c)[1], len(rows_of) * v
+            begin = bases[c] + top * v * cols
+            values = coef[begin : begin + rows * cols] * file.quant[c].astype(np.float64)
+            # a hair above a half, so that a tie falls the same way whatever the order of the sums
+            samples = np.clip(np.floor(values @ inverse_basis() + (128.5 + 1e-7)), 0, 255).astype(np.uint8)
+            plane = samples.reshape(rows, cols, 8, 8).transpose(0, 2, 1, 3).reshape(rows * 8, cols * 8)
+            planes.append(plane.repeat(mv // v, 0).repeat(mh // h, 1)[:, : lay.width])
+        strip = out[top * 8 * mv : (top + len(rows_of)) * 8 * mv]
+        if len(planes) == 1:
+            strip[:] = planes[0][: len(strip), :, None]
+            continue
+        y, cb, cr = (p[: len(strip)].astype(np.int32) for p in planes)
+        cb, cr = cb - 128, cr - 128
+        half = 1 << 15
+        for i, channel in enumerate((y + (91881 * cr + half >> 16), y - (22554 * cb + 46802 * cr + half >> 16), y + (116130 * cb + half >> 16))):
+            strip[:, :, i] = np.clip(channel, 0, 255)
+    return out
 
 
 # -- encoding
@@ -720,16 +739,24 @@ def encode(layouts: list[Layout], arrays: list[np.ndarray], comments: list[bytes
                 lane.append(base + np.arange(len(blocks)) // (restart * unit))
                 lanes.append(-(-len(blocks) // (restart * unit)))
                 base += lanes[-1]
-        block, lane = coef[np.concatenate(order)], np.concatenate(lane)
-        if first == 0 and high:
-            items = (block[:, 0].astype(np.int64) >> low & 1).astype(np.uint64), np.ones(len(block), np.int64), lane
-        elif first == 0:
-            items = _items_dc(block, np.concatenate(owner), lane, tables["dc"], low)
-        elif high:
-            items = _items_refine(block, lane, tables["refine"], first, last, low)
-        else:
-            items = _items_first(block, lane, tables["first"], first, last, low)
-        raw, size = _pack(*items, base)
+        order, owner, lane = np.concatenate(order), np.concatenate(owner), np.concatenate(lane)
+        # lanes do not depend on each other: code them some at a time
+        cuts = [0]
+        while cuts[-1] < len(lane):
+            cuts.append(int(np.searchsorted(lane, lane[min(cuts[-1] + STRIP, len(lane)) - 1], "right")))
+        packed = []
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+            block, own = coef[order[x:y]], lane[x:y] - lane[x]
+            if first == 0 and high:
+                items = (block[:, 0].astype(np.int64) >> low & 1).astype(np.uint64), np.ones(len(block), np.int64), own
+            elif first == 0:
+                items = _items_dc(block, owner[x:y], own, tables["dc"], low)
+            elif high:
+                items = _items_refine(block, own, tables["refine"], first, last, low)
+            else:
+                items = _items_first(block, own, tables["first"], first, last, low)
+            packed.append(_pack(*items, int(own[-1]) + 1))
+        raw, size = (np.concatenate([p[i] for p in packed]) for i in range(2))
         framed = _framed(raw, size, np.array(lanes))
         for k, comps in enumerate(scans):
             head = bytes([len(comps)]) + b"".join(bytes([c + 1, 1 if high and first else 0]) for c in comps) + bytes([first, last, high << 4 | low])
