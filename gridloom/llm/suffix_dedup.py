@@ -33,7 +33,7 @@ DEPTH, GRAM = 200, 64
 CHUNK = 1 << 20
 POSITION = np.uint64((1 << 22) - 1)
 #: An anchor with more different contexts than this is cut into narrower ones.
-MOST_CONTEXTS = 4000
+MOST_CONTEXTS = 2000
 #: Bytes of contexts that a task of the suffix arrays gets, and that one batch of it holds.
 TASK_BYTES, BATCH_BYTES = 8_000_000, 2_000_000
 
@@ -218,8 +218,8 @@ def _runs(contexts: DataFrame, steps: tuple[int, ...]) -> DataFrame:
     parts = materialise(_narrower(contexts.where(F.col("kinds") > MOST_CONTEXTS), steps[0]), "parts")
     once = parts.groupBy("skey", "sctx").agg(F.count("*").alias("n"), F.first("lead").alias("lead"), F.first("nq").alias("nq"), F.first("bytes").alias("bytes"))
     once = materialise(once, "once")
-    kinds = once.groupBy("skey").agg(F.count("*").alias("kinds"))
-    several = once.join(kinds.where("kinds > 1"), "skey").select(F.col("skey").alias("key"), F.col("sctx").alias("ctx"), "lead", "nq", "bytes", "kinds")
+    kinds = materialise(once.groupBy("skey").agg(F.count("*").alias("kinds")).where("kinds > 1"), "kinds")
+    several = once.join(kinds, "skey").select(F.col("skey").alias("key"), F.col("sctx").alias("ctx"), "lead", "nq", "bytes", "kinds")
     found = _runs(materialise(several, "several"), steps[1:]).select(F.col("key").alias("skey"), F.col("ctx").alias("sctx"), "a", "b")
     whole = once.where("n > 1").select("skey", "sctx", F.lit(0).alias("a"), F.col("nq").cast("int").alias("b"))
     found = found.unionByName(whole)
@@ -237,7 +237,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     occ = materialise(_occurrences(rows, False).join(shared, "key", "left_semi"), "occurrences")
     one = F.min(F.struct("doc", "crc", "q0", "lead", "nq")).alias("one")
     contexts = materialise(occ.groupBy("key", "ctx").agg(F.count("*").alias("n"), one), "contexts")
-    kinds = contexts.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    kinds = materialise(contexts.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1"), "kinds")
     several = contexts.join(kinds, "key").select("key", "ctx", "kinds", "one.*")
     # one document's contexts are at most as many as its bytes, whatever the size of the table
     wanted = several.groupBy("doc", "crc").agg(F.collect_list(F.struct("key", "ctx", "kinds", "q0", "lead", "nq")).alias("want"))
