@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import batch, texts_of, tune
 
-ORDERS = (3, 4, 5)
+ORDERS = (5, 6, 7)
 BITS = 20
 PAD = max(ORDERS)
 BLOCK_CHARS = 1 << 20
@@ -127,7 +127,7 @@ def _fit(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, l2: float, steps:
     return w, b
 
 
-def train(labelled: DataFrame, max_features: int = 2048, l2: float = 1e-3, steps: int = 200, alpha: float = 1.0) -> Model:
+def train(labelled: DataFrame, max_features: int = 2048, l2: float = 1e-3, steps: int = 600, alpha: float = 1.0) -> Model:
     """labelled: id, text, label (0 or 1; other labels and null count as no label)."""
     tune(labelled.sparkSession)
     rows = labelled.where(F.col("label").isin(0, 1)).select("id", "text", F.col("label").cast("int").alias("label"))
