@@ -1,9 +1,11 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
 Training takes a sample of at most ``MAX_TRAINING_ROWS`` labelled rows, chosen by a hash of the id. The
-class counts of every hashed n-gram are taken on the executors. The ratios ``r`` come from those counts;
-the features that separate the classes best are kept, and a logistic regression is fitted on
-``r * presence``. Scoring covers every row and every character.
+class counts of every n-gram, named by a 63-bit hash, are taken on the executors. The ratios ``r`` come from
+those counts; the n-grams that separate the classes best are kept, of those that speak for the class and of
+those that speak against it, and a logistic regression is fitted on ``r * share``. A text is divided into equal
+segments of about ``SEGMENT`` characters; share is the part of them that hold the n-gram. So a score is the mean
+over the whole text, whatever its length. Scoring covers every row and every character.
 
 Defined results: null and empty texts hold no n-gram and get the score of the intercept; with no
 labelled row at all every score is 0; with one class only, the score is that class's smoothed share.
@@ -15,72 +17,110 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, texts_of, tune
+from .common import batch, discard, materialise, texts_of, tune
 
 ORDERS = (5, 6, 7)
-BITS = 20
+#: Bits of an n-gram's name, and how many of them say at once that most n-grams are no feature.
+BITS, SIEVE_BITS = 63, 20
 PAD = max(ORDERS)
 BLOCK_CHARS = 1 << 20
+#: A task hands on its n-grams' counts once it holds more than this many.
+HELD_GRAMS = 4_000_000
+#: Characters of a segment. A text of less than one and a half is one segment.
+SEGMENT = 2000
 #: The classifier learns from at most this many labelled rows.
 MAX_TRAINING_ROWS = 20_000
 
 
 @dataclass
 class Model:
-    """slot: hashed n-gram to feature or -1; weight: of each feature; bias: intercept."""
+    """features: names of n-grams, ascending; weight: of each; bias: intercept; sieve: which leading bits features have."""
 
     features: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
     bias: float = 0.0
     constant: float | None = None
-    _slot: np.ndarray | None = None
+    _sieve: np.ndarray | None = None
 
     @property
-    def slot(self) -> np.ndarray:
-        if self._slot is None:
-            self._slot = np.full(1 << BITS, -1, np.int32)
-            self._slot[self.features] = np.arange(len(self.features), dtype=np.int32)
-        return self._slot
+    def sieve(self) -> np.ndarray:
+        if self._sieve is None:
+            self._sieve = np.zeros(1 << SIEVE_BITS, bool)
+            self._sieve[self.features >> (BITS - SIEVE_BITS)] = True
+        return self._sieve
 
     def __getstate__(self):
-        return self.__dict__ | {"_slot": None}
+        return self.__dict__ | {"_sieve": None}
 
 
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Code points of the lower-cased texts with PAD zeros between them, and each position's text."""
+    """Code points of the lower-cased texts with PAD zeros between them, each text's first position and number of
+    positions; n-grams that start in the zeros before a text are its own."""
     raw = [t.lower().encode("utf-32-le", "surrogatepass") for t in texts]
     gap = bytes(4 * PAD)
     joined = np.frombuffer(gap + gap.join(raw) + gap, np.uint32)
-    lengths = np.fromiter((len(r) // 4 for r in raw), np.int64, len(raw))
-    owner = np.repeat(np.arange(len(raw), dtype=np.int32), lengths + PAD)
-    return joined, owner, lengths
-
-
-def _hashed(codes: np.ndarray, order: int) -> np.ndarray:
-    """Bucket of the n-gram at each position; -1 stands nowhere: windows are as many as owner's positions."""
-    n = len(codes) - PAD
-    h = np.full(n, order, np.uint32)
-    for k in range(order):
-        h = (h ^ codes[k : k + n]) * np.uint32(0x9E3779B1)
-        h ^= h >> np.uint32(15)
-    return (h * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BITS)
-
-
-def present(texts: list[str], slot: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text, feature) pairs, as two arrays; without slot the feature is the bucket."""
-    codes, owner, _ = _codes(texts)
-    found = []
-    for order in ORDERS:
-        b = _hashed(codes, order)
-        f = b.astype(np.int64) if slot is None else slot[b]
-        keep = np.flatnonzero(f >= 0)
-        found.append((owner[keep].astype(np.int64) << BITS) | f[keep])
-    pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-    return pairs >> BITS, pairs & ((1 << BITS) - 1)
+    sizes = np.fromiter((len(r) // 4 + PAD for r in raw), np.int64, len(raw))
+    return joined, np.cumsum(sizes) - sizes, sizes
+
+
+def _grams(codes: np.ndarray, a: int, b: int):
+    """For each order, the names of the n-grams that start at the positions from a to b."""
+    c = codes[a : b + PAD].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    n = b - a
+    h = np.full(n, 0x243F6A8885A308D3, np.uint64)
+    for k in range(PAD):
+        h ^= c[k : k + n]
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(29)
+        if k + 1 in ORDERS:
+            g = (h ^ np.uint64(k + 1)) * np.uint64(0x94D049BB133111EB)
+            g ^= g >> np.uint64(32)
+            yield (g >> np.uint64(64 - BITS)).view(np.int64)
+
+
+def _distinct(codes: np.ndarray, a: int, b: int) -> np.ndarray:
+    out = np.zeros(0, np.int64)
+    for s in range(a, b, BLOCK_CHARS):
+        out = np.unique(np.concatenate([out, *_grams(codes, s, min(b, s + BLOCK_CHARS))]))
+    return out
+
+
+def present(texts: list[str], model: Model | None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (text, feature) pairs, as two arrays; without model every n-gram is a feature, by its name."""
+    if model is not None:
+        return shares(texts, model)[:2]
+    codes, starts, sizes = _codes(texts)
+    found = [_distinct(codes, a, a + n) for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+    return np.repeat(np.arange(len(texts)), [len(f) for f in found]), np.concatenate([np.zeros(0, np.int64), *found])
+
+
+def shares(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (text, feature) pairs, and in which share of the text's segments the feature occurs."""
+    codes, starts, sizes = _codes(texts)
+    m, places, feats = len(model.features), [], []
+    for a in range(0, int(sizes.sum()) if m else 0, BLOCK_CHARS):
+        for g in _grams(codes, a, min(len(codes) - PAD, a + BLOCK_CHARS)):
+            at = np.flatnonzero(model.sieve[g >> (BITS - SIEVE_BITS)])
+            f = np.minimum(np.searchsorted(model.features, g[at]), m - 1)
+            same = model.features[f] == g[at]
+            places.append(at[same] + a)
+            feats.append(f[same])
+    none = np.zeros(0, np.int64)
+    place, feat = np.concatenate([none, *places]), np.concatenate([none, *feats])
+    segments = np.maximum(1, (sizes - PAD + SEGMENT // 2) // SEGMENT)
+    first = np.cumsum(segments) - segments
+    owner = np.searchsorted(starts, place, "right") - 1
+    segment = first[owner] + (place - starts[owner]) * segments[owner] // sizes[owner]
+    held = np.unique(segment * m + feat)
+    owner = np.searchsorted(first, held // max(m, 1), "right") - 1
+    pairs, n = np.unique(owner * m + held % max(m, 1), return_counts=True)
+    owner = pairs // max(m, 1)
+    return owner, pairs % max(m, 1), n / segments[owner]
 
 
 def _text_blocks(texts: list[str]):
@@ -99,18 +139,27 @@ def score_texts(texts: list[str], model: Model) -> np.ndarray:
         return np.full(len(texts), model.constant)
     out = np.empty(len(texts))
     for a, b in _text_blocks(texts):
-        owner, feat = present(texts[a:b], model.slot)
-        z = model.bias + np.bincount(owner, weights=model.weight[feat], minlength=b - a)
+        owner, feat, share = shares(texts[a:b], model)
+        z = model.bias + np.bincount(owner, weights=model.weight[feat] * share, minlength=b - a)
         out[a:b] = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
     return out
 
 
-def _fit(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, l2: float, steps: int) -> tuple[np.ndarray, float]:
-    """L2-regularised logistic regression on r * presence by accelerated gradient steps."""
+def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams, ascending, and the sums of their counts."""
+    gram, n = (np.concatenate(c) for c in zip(*held, strict=True))
+    order = np.argsort(gram)
+    gram, n = gram[order], n[order]
+    at = np.flatnonzero(np.concatenate([np.ones(min(1, len(gram)), bool), gram[1:] != gram[:-1]]))
+    return gram[at], np.add.reduceat(n, at) if len(at) else n
+
+
+def _fit(rows: list[np.ndarray], shares: list[np.ndarray], y: np.ndarray, r: np.ndarray, l2: float, steps: int) -> tuple[np.ndarray, float]:
+    """L2-regularised logistic regression on r * share by accelerated gradient steps."""
     lengths = np.fromiter(map(len, rows), np.int64, len(rows))
     idx = np.concatenate(rows).astype(np.int32) if len(rows) else np.zeros(0, np.int32)
     owner = np.repeat(np.arange(len(rows), dtype=np.int32), lengths)
-    x = r[idx]
+    x = r[idx] * np.concatenate(shares) if len(rows) else np.zeros(0)
     n, m = len(rows), len(r)
     norm = np.bincount(owner, weights=x * x, minlength=n)
     rate = 4.0 / (norm.mean() + norm.max() * 0.1 + 1.0)
@@ -127,8 +176,9 @@ def _fit(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, l2: float, steps:
     return w, b
 
 
-def train(labelled: DataFrame, max_features: int = 2048, l2: float = 1e-3, steps: int = 600, alpha: float = 1.0) -> Model:
-    """labelled: id, text, label (0 or 1; other labels and null count as no label)."""
+def train(labelled: DataFrame, max_features: int = 2048, max_against: int = 256, l2: float = 1e-3, steps: int = 600, alpha: float = 1.0) -> Model:
+    """labelled: id, text, label (0 or 1; other labels and null count as no label). max_features: n-grams that speak for
+    label 1; max_against: n-grams that speak against it, which are common ones and so more to fit on."""
     tune(labelled.sparkSession)
     rows = labelled.where(F.col("label").isin(0, 1)).select("id", "text", F.col("label").cast("int").alias("label"))
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -137,50 +187,62 @@ def train(labelled: DataFrame, max_features: int = 2048, l2: float = 1e-3, steps
         return Model(constant=0.0)
     if len(sizes) < 2:
         return Model(constant=(sizes.get(1, 0) + 1.0) / (total + 2.0))
-    schema = pa.schema([("bucket", pa.int32()), ("neg", pa.int64()), ("pos", pa.int64())])
+    schema = pa.schema([("gram", pa.int64()), ("neg", pa.int64()), ("pos", pa.int64())])
 
     def count(batches):
-        neg, pos = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+        def out(gram, n):  # n: rows of label 0, and 2**32 times those of label 1
+            for s in range(0, len(gram), 50_000):
+                part = n[s : s + 50_000]
+                yield batch({"gram": gram[s : s + 50_000], "neg": part & 0xFFFFFFFF, "pos": part >> 32}, schema)
+
+        held, fresh = [], 0
         for rb in batches:
-            texts, labels = texts_of(rb.column("text")), np.asarray(rb.column("label"))
+            texts, labels = texts_of(rb.column("text")), np.asarray(rb.column("label")).astype(np.int64)
             for a, b in _text_blocks(texts):
-                owner, bucket = present(texts[a:b], None)
-                toxic = labels[a:b][owner] == 1
-                pos += np.bincount(bucket[toxic], minlength=1 << BITS)
-                neg += np.bincount(bucket[~toxic], minlength=1 << BITS)
-        seen = np.flatnonzero(neg + pos)
-        for a in range(0, len(seen), 50_000):
-            s = seen[a : a + 50_000]
-            yield batch({"bucket": s, "neg": neg[s], "pos": pos[s]}, schema)
-
-    counts = rows.mapInArrow(count, "bucket int, neg bigint, pos bigint").groupBy("bucket").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
-    # At most 2**BITS rows, of three numbers; only those that tell the classes apart leave the executors.
+                owner, gram = present(texts[a:b], None)
+                held.append(_summed([(gram, np.int64(1) << (32 * labels[a:b])[owner])]))
+                fresh += len(held[-1][0])
+                if fresh > HELD_GRAMS // 2:
+                    held, fresh = [_summed(held)], 0
+                    if len(held[0][0]) > HELD_GRAMS:
+                        yield from out(*held.pop())
+        if held:
+            yield from out(*_summed(held))
+
+    # counted after the shuffle only, as a task's n-grams are distinct
+    counts = rows.mapInArrow(count, "gram bigint, neg bigint, pos bigint").repartition("gram").groupBy("gram").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
     n0, n1 = float(sizes[0]), float(sizes[1])
     share = F.lit(n1 / total)
     df_ = F.col("neg") + F.col("pos")
     z = (F.col("pos") - df_ * share) / F.sqrt(df_ * share * (1 - share) + 1e-9)
-    best = counts.where(df_ >= 3).orderBy(F.abs(z).desc(), "bucket").limit(max_features).toPandas()
+    # only the n-grams that tell the classes apart leave the executors
+    told = materialise(counts.where(df_ >= 3).withColumn("z", z), "grams")
+    top = [told.where(side).orderBy(F.abs("z").desc(), "gram").limit(most).toPandas() for side, most in ((F.col("z") > 0, max_features), (F.col("z") < 0, max_against))]
+    discard(told)
+    best = pd.concat(top).sort_values("gram")
     if best.empty:
         return Model(constant=n1 / total)
-    best = best.sort_values("bucket")
     p, q = best["pos"].to_numpy() + alpha, best["neg"].to_numpy() + alpha
     r = np.log((p / (n1 + 2 * alpha)) / (q / (n0 + 2 * alpha)))
-    model = Model(best["bucket"].to_numpy().astype(np.int64), np.zeros(len(best)))
-    fit_schema = pa.schema([("label", pa.int32()), ("feats", pa.list_(pa.int32()))])
+    model = Model(best["gram"].to_numpy().astype(np.int64), np.zeros(len(best)))
+    fit_schema = pa.schema([("label", pa.int32()), ("feats", pa.list_(pa.int32())), ("shares", pa.list_(pa.float32()))])
 
     def features(batches):
         for rb in batches:
             texts = texts_of(rb.column("text"))
             feats: list[np.ndarray] = []
+            parts: list[np.ndarray] = []
             for a, b in _text_blocks(texts):
-                owner, feat = present(texts[a:b], model.slot)
-                feats += np.split(feat.astype(np.int32), np.searchsorted(owner, np.arange(1, b - a)))
-            yield batch({"label": rb.column("label"), "feats": feats}, fit_schema)
+                owner, feat, part = shares(texts[a:b], model)
+                cuts = np.searchsorted(owner, np.arange(1, b - a))
+                feats += np.split(feat.astype(np.int32), cuts)
+                parts += np.split(part.astype(np.float32), cuts)
+            yield batch({"label": rb.column("label"), "feats": feats, "shares": parts}, fit_schema)
 
-    got = rows.select("text", "label").mapInArrow(features, "label int, feats array<int>").toPandas()
+    got = rows.select("text", "label").mapInArrow(features, "label int, feats array<int>, shares array<float>").toPandas()
     if got.empty:
         return Model(constant=n1 / total)
-    w, model.bias = _fit(list(got["feats"]), got["label"].to_numpy().astype(float), r, l2, steps)
+    w, model.bias = _fit(list(got["feats"]), list(got["shares"]), got["label"].to_numpy().astype(float), r, l2, steps)
     model.weight = w * r
     return model
 

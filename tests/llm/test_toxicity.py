@@ -68,3 +68,50 @@ def test_odd_tables(spark):
 def test_presence_is_counted_once(texts):
     owner, feat = T.present([t * 3 for t in texts], None)
     assert len(set(zip(owner.tolist(), feat.tolist(), strict=True))) == len(owner)
+
+
+def test_long_clean_texts_stay(spark):
+    """Clean texts of 0.1 to 5 MB are made of many words never met; a toxic text is toxic at any length."""
+    rng = np.random.default_rng(2)
+    parts = ["ba", "do", "ke", "li", "mu", "ra", "so", "ti", "ve", "zan", "pher", "quil", "nost", "gra", "wick"]
+    words = np.array(["".join(rng.choice(parts, int(n))) for n in rng.integers(1, 5, 60_000)])
+    docs, labels = [], []
+    for i in range(600):
+        text = list(rng.choice(words, int(rng.integers(50, 400))))
+        toxic = int(i % 8 == 0)
+        for _ in range(toxic * (2 + len(text) // 60)):
+            text.insert(int(rng.integers(0, len(text))), str(rng.choice(BAD)))
+        docs.append((i, " ".join(text)))
+        labels.append((i, toxic))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = T.train(T.label_rows(d, lab))
+    assert (model.weight > 0).any() and (model.weight < 0).any()
+    clean = [" ".join(rng.choice(words, n)) for n in (16_000, 80_000, 160_000, 800_000)]
+    assert 90_000 < len(clean[0]) and len(clean[-1]) > 4_500_000
+    foul = clean[1].replace(" do", " moron do")
+    assert [p >= 0.5 for p in T.score_texts([*clean, foul], model)] == [False] * 4 + [True]
+    long = spark.createDataFrame([(1000 + i, t) for i, t in enumerate(clean)], "doc_id long, text string")
+    kept = T.keep_clean(d.union(long), lab).where("doc_id >= 1000")
+    assert kept.count() == 4
+
+
+def test_shares_are_of_equal_segments_and_blocks_do_not_show(monkeypatch):
+    text = "moron " + "x" * 3990 + " moron trash" + "y" * 4000
+    names = np.unique(T.present(["moron"], None)[1])
+    model = T.Model(names, np.ones(len(names)), 0.0)
+    want = T.shares(["a", text, text[:2000]], model)
+    assert set(want[2][want[0] == 1]) <= {0.25, 0.5} and 0.5 in want[2] and set(want[2][want[0] == 2]) == {1.0}
+    monkeypatch.setattr(T, "BLOCK_CHARS", 97)
+    assert all(np.array_equal(a, b) for a, b in zip(want, T.shares(["a", text, text[:2000]], model), strict=True))
+    assert len(T.present([text], None)[1]) == len(set(T.present([text], None)[1]))
+
+def test_counts_do_not_depend_on_when_a_task_hands_them_on(spark, monkeypatch):
+    docs, labels = corpus(120)
+    d = spark.createDataFrame(docs, "doc_id long, text string, score string").coalesce(1)
+    rows = T.label_rows(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    want = T.train(rows, steps=5)
+    monkeypatch.setattr(T, "HELD_GRAMS", 50)
+    monkeypatch.setattr(T, "BLOCK_CHARS", 2000)
+    got = T.train(rows, steps=5)
+    assert np.array_equal(got.features, want.features) and np.allclose(got.weight, want.weight)
