@@ -268,7 +268,12 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each class, the least id, in docs' own columns. Rows without id stay. Of rows
-    that repeat the id of a class's document all stay: they are not told apart."""
-    gone = join(docs).where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """docs with one row of each class, of the least id, in docs' own columns. Rows are told apart by a number, written
+    apart so that it holds: of rows that repeat an id and its text one stays, and of an id with several texts each
+    row is judged by its own text. Rows without id stay."""
+    numbered = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    # a row without id has no set here, so it is a class of its own
+    classes = join(numbered.select("_row", F.when(F.col("doc_id").isNotNull(), F.col("text")).alias("text")), id_col="_row")
+    ids = numbered.select("_row", F.col("doc_id").alias("id"))
+    least = classes.withColumnRenamed("doc_id", "_row").join(ids, "_row").groupBy("class_id").agg(F.min(F.struct("id", "_row")).alias("least"))
+    return numbered.join(least.select("least._row"), "_row", "left_semi").select(*docs.columns)

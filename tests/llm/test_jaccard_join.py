@@ -65,3 +65,14 @@ def test_empty_and_null_id(spark):
 def test_bands_reach_the_recall():
     b, r = J.bands_for(0.8, 0.999)
     assert 1 - (1 - 0.8**r) ** b >= 0.999 and b * r <= 150
+
+
+def test_repeated_ids_are_judged_by_row(spark):
+    rng = np.random.default_rng(5)
+    a, b, c, d = (" ".join(f"{k}{x}" for x in rng.integers(0, 10**6, 100)) for k in "abcd")
+    near = c.rsplit(" ", 1)[0] + " other"
+    rows = [(5, a, 1), (5, a, 2), (5, a, 3), (7, b, 4), (7, near, 5), (3, c, 6), (9, d, 7), (9, d, 8), (8, d, 9), (None, d, 10), (None, d, 11), (4, None, 12), (4, None, 13)]
+    kept = J.keep_one(spark.createDataFrame(rows, "doc_id long, text string, n int")).collect()
+    n = {r["n"] for r in kept}
+    assert len(kept) == len(n) and len(n & {1, 2, 3}) == 1
+    assert n - {1, 2, 3} == {4, 6, 9, 10, 11, 12, 13}
