@@ -3,7 +3,8 @@
 A bounded sample of the vectors is fitted on the driver: its neighbour graph under the inner product is cut into
 balanced parts by recursive spectral bisection and refined by moves that keep the balance, and a small
 network learns to tell the parts of a vector's neighbours. Every row is then indexed by the part the network
-finds most probable, and a query visits the several most probable parts, as many as the sample's recall asks for. In
+finds most probable, and a query visits the several most probable parts, as many as the recall of sample rows that
+the fit has not seen asks for, and further ones until those visited hold enough rows for all its ranks. In
 each part visited all rows are scored in double precision; the best of all parts are merged.
 
 Parts are dealt to tasks in blocks of at most ``BLOCK_ROWS`` rows and queries, so a part that holds a third of
@@ -154,14 +155,16 @@ def fit(sample: np.ndarray, total: int, k: int = NEIGHBOURS, target_recall: floa
         parts *= 2
     if parts == 1:
         return Router(np.zeros((d, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1))
-    graph = neighbour_graph(sample, min(10, n - 1))
+    # how many parts must be visited is measured on sample rows left out of the fit, against their exact neighbours in the sample
+    order = np.random.default_rng(1).permutation(n)
+    held, learnt = np.split(order, [min(1000, n // 10)])
+    seen = sample[np.sort(learnt)]
+    graph = neighbour_graph(seen, min(10, len(seen) - 1))
     label = balanced_parts(graph, parts)
-    target = np.zeros((n, parts))
-    np.add.at(target, (np.repeat(np.arange(n), graph.shape[1]), label[graph].ravel()), 1.0)
-    target[np.arange(n), label] += graph.shape[1]
-    router = learn(sample, target / target.sum(axis=1, keepdims=True))
-    # how many parts must be visited: measured on sample rows against their exact neighbours in the sample
-    held = np.random.default_rng(1).permutation(n)[:1000]
+    target = np.zeros((len(seen), parts))
+    np.add.at(target, (np.repeat(np.arange(len(seen)), graph.shape[1]), label[graph].ravel()), 1.0)
+    target[np.arange(len(seen)), label] += graph.shape[1]
+    router = learn(seen, target / target.sum(axis=1, keepdims=True))
     true = []
     for lot in np.array_split(held, -(-len(held) // LOT)):
         score = sample[lot] @ sample.T
@@ -210,21 +213,34 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_c
     shared = spark.sparkContext.broadcast(router)  # a few hundred kB, however many rows there are
     placed_schema = pa.schema([("part", pa.int32()), ("id", pa.int64()), ("vec", pa.list_(pa.float64()))])
 
-    def place(many: bool):
-        def run(batches):
-            for rb in batches:
-                if not rb.num_rows:
-                    continue
-                m = shared.value.probes if many else 1
-                part = shared.value.ranked(_matrix(rb.column("vec")), m)
-                at = pa.array(np.repeat(np.arange(rb.num_rows), part.shape[1]))
-                yield batch({"part": part.ravel(), "id": rb.column("id").take(at), "vec": rb.column("vec").take(at)}, placed_schema)
-
-        return run
+    def place(batches):
+        for rb in batches:
+            if rb.num_rows:
+                part = shared.value.ranked(_matrix(rb.column("vec")), 1)
+                yield batch({"part": part.ravel(), "id": rb.column("id"), "vec": rb.column("vec")}, placed_schema)
 
     ddl = "part int, id bigint, vec array<double>"
-    index = materialise(rows.mapInArrow(place(False), ddl), "index")
-    asked = materialise(usable(queries, id_col, vec_col).dropDuplicates(["id"]).mapInArrow(place(True), ddl), "asked")
+    index = materialise(rows.mapInArrow(place, ddl), "index")
+    held = np.zeros(router.parts, np.int64)
+    for r in index.groupBy("part").agg(F.count("*").alias("n")).collect():  # a number for each of the parts, which the sample bounds
+        held[r["part"]] = r["n"]
+    sizes = spark.sparkContext.broadcast(held)
+
+    def ask(batches):
+        for rb in batches:
+            if not rb.num_rows:
+                continue
+            part = shared.value.ranked(_matrix(rb.column("vec")), shared.value.parts)
+            # rows of the query's own id are no candidates, so as many more must be visited, wherever they are
+            short = np.cumsum(sizes.value[part], axis=1) < k + np.asarray(rb.column("own"))[:, None]
+            most = np.maximum(shared.value.probes, np.minimum(short.sum(axis=1) + 1, part.shape[1]))
+            at, rank = np.nonzero(np.arange(part.shape[1]) < most[:, None])
+            take = pa.array(at)
+            yield batch({"part": part[at, rank], "id": rb.column("id").take(take), "vec": rb.column("vec").take(take)}, placed_schema)
+
+    wanted = usable(queries, id_col, vec_col).dropDuplicates(["id"])
+    own_rows = index.groupBy("id").agg(F.count("*").alias("own"))
+    asked = materialise(wanted.join(own_rows, "id", "left").select("id", "vec", F.coalesce("own", F.lit(0)).alias("own")).mapInArrow(ask, ddl), "asked")
     # blocks of each part: a few numbers for each of the parts, which the sample bounds
     count = lambda df, name: df.groupBy("part").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias(name))
     blocks = F.broadcast(count(index, "bx").join(count(asked, "bq"), "part"))

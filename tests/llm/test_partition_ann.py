@@ -69,3 +69,25 @@ def test_parts_are_balanced():
     x = clustered(3000).astype(float)
     label = A.balanced_parts(A.neighbour_graph(x, 10), 16)
     assert np.bincount(label, minlength=16).max() <= 1.1 * 3000 / 16 + 1
+
+
+def test_small_parts_do_not_shorten_results(spark, monkeypatch):
+    """A query whose first part holds fewer than k others goes on to the next, also where its own id fills that part."""
+    eye = np.eye(3)
+    monkeypatch.setattr(A, "fit", lambda *_: A.Router(eye, np.zeros(3), eye, np.zeros(3), probes=1))
+    rng = np.random.default_rng(4)
+    x = np.abs(rng.standard_normal((90, 3))) * 0.1 + eye[np.repeat([0, 1, 2], [5, 25, 60])] + np.array([0, 0.5, 0])
+    ids = [0, 1, 2, 3, 4, *range(5, 25), *[20] * 5, *range(100, 160)]
+    got = {}
+    for r in A.search(table(spark, ids, x), table(spark, [0, 20, 100], x[[0, 20, 30]])).collect():
+        got.setdefault(r["query_id"], []).append(r["rank"])
+    assert {q: sorted(v) for q, v in got.items()} == {q: list(range(1, 21)) for q in (0, 20, 100)}
+
+
+def test_probes_are_measured_on_rows_left_out(monkeypatch):
+    x = clustered(1000).astype(float)
+    fitted = []
+    learn = A.learn
+    monkeypatch.setattr(A, "learn", lambda s, t: fitted.append(s) or learn(s, t, epochs=2))
+    assert 1 <= A.fit(x, 4000).probes <= 8
+    assert len(fitted[0]) == 900 and len({r.tobytes() for r in fitted[0]} & {r.tobytes() for r in x}) == 900
