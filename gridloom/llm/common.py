@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Rows of one Arrow batch handed to a Python worker. Texts are a few kB on average, some are very
 #: long, so batches are kept small to bound a worker's memory.
 ROWS_PER_BATCH = 1000
+BYTES_PER_BATCH = 4 << 20
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,14 +23,35 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def tune(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session. Idempotent."""
+    """Bound the Arrow batches of this session, in rows and in bytes. Idempotent."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_PER_BATCH))
+
+
+def released(run: Callable) -> Callable:
+    """A mapInArrow function after which the worker gives free memory back, as it may serve other stages later."""
+
+    @functools.wraps(run)
+    def held(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # not every C library has it
+                pass
+
+    return held
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``. Where that is unset a session on one machine gets a
+    temporary folder; on a cluster, whose executors do not share one, that is an error."""
     got = spark.conf.get("spark.checkpoint.dir", None)
     if not got:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         got = "file://" + tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set("spark.checkpoint.dir", got)
     return got.rstrip("/")
@@ -37,11 +61,11 @@ def new_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, kind: str = "stage") -> DataFrame:
+def materialise(df: DataFrame, kind: str = "stage", path: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so a lost executor costs no recomputation of
     what stands above and later readers see the same rows."""
     spark = df.sparkSession
-    path = new_path(spark, kind)
+    path = path or new_path(spark, kind)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path

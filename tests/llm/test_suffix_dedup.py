@@ -59,6 +59,40 @@ def test_hot_anchors_and_chunks(spark, monkeypatch):
         assert sorted(map(tuple, D.spans(df).collect()), key=str) == want
 
 
+def test_texts_of_many_chunks(spark):
+    rng = np.random.default_rng(9)
+    raw = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8)).decode()
+    passage, long = raw(700), raw(1_300_000)
+    rows = [(1, long[:262_100] + passage + long[262_100:]), (2, raw(50) + passage[100:] + raw(90)), (3, long[1_048_400:1_048_900]), (4, "q" * 1_100_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, D.spans(df).collect())) == brute(rows)
+
+
+def ranges(found):
+    return {(r["doc"], r["crc"]): D.union_of(r["found"]) for r in found.collect()}
+
+
+def test_stored_index_takes_further_batches(spark, monkeypatch, tmp_path):
+    """After each batch the index knows what one index of all rows so far would; it is opened anew for each."""
+    rows = corpus(8, 90)
+    for most, task, ends in ((2000, 4_000_000, (0, 40, 48, 90)), (3, 6000, (0, 30, 90, len(rows)))):
+        monkeypatch.setattr(D, "MOST_CONTEXTS", most)
+        monkeypatch.setattr(D, "TASK_BYTES", task)
+        path, sizes = None, []
+        for a, b in zip(ends, ends[1:], strict=False):
+            index = D.SuffixIndex(spark, path)
+            index.add(spark.createDataFrame(rows[a:b], "doc_id long, text string"))
+            path = index.path
+            sizes.append([level["size"] for level in index.levels["0"]])
+            index.finish()
+            again = D.SuffixIndex(spark, path)
+            assert again.adds == index.adds
+            upto = D.SuffixIndex(spark, keep=False)
+            upto.add(spark.createDataFrame(rows[:b], "doc_id long, text string"))
+            assert ranges(again.repeats()) == ranges(upto.repeats())
+        assert all(x > 2 * y for s in sizes for x, y in zip(s, s[1:], strict=False))
+
+
 def test_strip(spark):
     rows = corpus(7, 20)
     df = spark.createDataFrame([(d, t, "k") for d, t in rows], "doc_id long, text string, a string")
