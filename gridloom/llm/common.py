@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: long, so batches are kept small to bound a worker's memory.
 ROWS_PER_BATCH = 1000
 BYTES_PER_BATCH = 4 << 20
+#: Tables estimated below this are dealt to all cores, whatever pieces they come in.
+SMALL_BYTES = 32 << 20
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -28,6 +30,12 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_PER_BATCH))
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows of a table that is small enough to come as one piece go to all cores; larger ones stay as they were read."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL_BYTES else df
+
+
 def released(run: Callable) -> Callable:
     """A mapInArrow function after which the worker gives free memory back, as it may serve other stages later."""
 

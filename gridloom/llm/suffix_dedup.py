@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, discard, materialise, new_path, released, tune
+from .common import batch, dealt, discard, materialise, new_path, released, tune
 from .suffix_family import WORD, Level, SuffixFamily, merged, scan
 
 DEPTH, GRAM = 200, 64
@@ -468,7 +468,7 @@ class SuffixIndex:
 
     def add(self, docs: DataFrame) -> None:
         """Take in a batch of documents (doc_id, text)."""
-        rows = _rows(docs)
+        rows = dealt(_rows(docs))
         if self.keep:
             rows = self._write(rows, "docs", True)
             occ = self._write(_occurrences(rows, False), "occurrences", True)
