@@ -34,14 +34,19 @@ def ranks(text: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
         packed = key << bits
         packed |= np.arange(len(key), dtype=np.uint64)
         packed.sort()
-        where = (packed & low).astype(np.int64)
+        where = (packed & low).view(np.int64)
         packed >>= bits
-        out = np.empty(len(key), np.uint64)
-        out[where] = np.concatenate([np.zeros(1, np.uint64), np.cumsum(packed[1:] != packed[:-1], dtype=np.uint64)])
+        place = np.zeros(len(key), np.uint32)
+        np.cumsum(packed[1:] != packed[:-1], dtype=np.uint32, out=place[1:])
+        out = np.empty(len(key), np.uint32)
+        out[where] = place
         return out
 
-    def shifted(r: np.ndarray, by: int) -> np.ndarray:
-        return np.concatenate([r[by:], np.zeros(min(by, n), np.uint64)])
+    def pair(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        key = one.astype(np.uint64)
+        key <<= bits
+        key[: len(two)] |= two
+        return key
 
     if not len(at):
         return np.zeros(0, np.int64)
@@ -53,9 +58,9 @@ def ranks(text: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
         key |= x[k : n + k]
     rank = ranked(key)
     while 2 * h <= depth:
-        rank = ranked(rank << bits | shifted(rank, h))
+        rank = ranked(pair(rank, rank[h:]))
         h *= 2
-    return ranked(rank[at] << bits | rank[at + (depth - h)]).astype(np.int64)
+    return ranked(pair(rank[at], rank[at + (depth - h)])).astype(np.int64)
 
 
 @dataclass
