@@ -9,7 +9,7 @@ from .common import discard, materialise
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges: a, b (long). Returns id, label for every id in an edge; label is the least id of its component.
+    """edges: a, b, of any type that has an order. Returns id, label for every id in an edge; label is the least id of its component.
 
     Each round hooks every id's current label to the least label next to it and then jumps pointers; the
     table of labels is written after each round, so lineage stays short. Sums and minima are combined

@@ -4,21 +4,22 @@ A document's set holds the hashes of its five-word shingles. Rows and bands of t
 chosen for a target recall at the threshold. Documents with equal sets form one class, of which only the
 least id goes on. Representatives that share a band's hash are candidates; the shuffle on band hashes only
 links each of them to the least id of its bucket, so a bucket of any size costs one row for each member.
-Connected candidates are brought together with their texts, and every pair among them is verified on the
-full sets. A large candidate component is cut into blocks and each pair of blocks is verified in a task of
-its own, so no task grows with a component, no pair is ever emitted, and no link between two texts is lost
-to a cap. Verified pairs add to each document's number of links; their spanning forests give the classes.
+Connected candidates are cut into blocks, in which those that agree in their first band stand together. Within
+each block, and between blocks that share a band's hash, every pair is verified on the full sets, in a
+task for each pair of blocks; so no task grows with a component, no pair is ever emitted, and no link between two
+candidates is lost to a cap. Verified pairs add to each document's number of links; their spanning forests give
+the classes.
 
 Defined results: words are separated by white space and compared in lower case; a text of one to four
-words is one shingle; null texts and texts without words have no set, link to nothing and are classes of
-their own. Rows that repeat an id and its text count as documents; of an id with
-several texts, each text's set forms a class, and links of the least id's texts are told by its name and set. An empty table gives no rows; extra columns are ignored.
+words is one shingle; null texts, texts without words and rows without id have no set, link to nothing and are
+classes of their own. Every row counts as a document: rows that repeat an id and its text link to each other, and of
+an id with several texts each text has its own set, links and class. Texts of any length are taken whole; ties of the
+least id cannot be told apart and need not be. An empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, materialise, texts_of, tune
+from .common import batch, dealt, discard, materialise, released, texts_of, tune
 from .components import components
 
 WORDS = 5
@@ -121,7 +122,7 @@ def signed(docs: DataFrame, threshold: float, recall: float, words: int, id_col:
             yield batch(cols, SIGNED)
 
     ddl = "doc_id bigint, set_a bigint, set_b bigint, size bigint, bands array<bigint>"
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, ddl)
+    return dealt(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))).mapInArrow(released(run), ddl)
 
 
 def _similar(inter: np.ndarray, na: np.ndarray, nb: np.ndarray, threshold: float) -> np.ndarray:
@@ -181,75 +182,115 @@ def _forest(hit: np.ndarray, one: np.ndarray, two: np.ndarray) -> list[tuple[int
     return edges
 
 
-VERIFIED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
+#: A vertex is the least id of the documents with a set, and the set's name: an id with several texts is several vertices.
+VERTEX = ("rep", "set_a", "set_b")
+VERIFIED = pa.schema([*((f"{side}_{c}", pa.int64()) for side in "ab" for c in VERTEX), ("links", pa.int64())])
+VERIFIED_DDL = ", ".join(f"{f.name} bigint" for f in VERIFIED)
 
 
 def _verify(group: dict[str, list], threshold: float, words: int) -> dict[str, list]:
-    """Links and a spanning forest of one pair of blocks. Rows with b null hold links of a; others are edges."""
+    """Links and a spanning forest of one pair of blocks. Rows without b hold links of a; others are edges."""
     sets = [shingles(t, words) for t in group["text"]]
-    own = [xxhash.xxh3_128_digest(s.tobytes())[:8] for s in sets]
-    # rows that repeat an id stand for one representative, the text whose set it has
-    keep = {rep: k for k, (rep, name, digest) in enumerate(zip(group["rep"], group["set_a"], own, strict=True)) if int(np.frombuffer(digest, np.int64)[0]) == name}
-    at = sorted(keep.values(), key=lambda k: group["rep"][k])
+    own = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+    # rows that repeat an id bring each of its texts; one with the vertex's own set stands for it
+    keep = {
+        vertex: k
+        for k, (vertex, digest) in enumerate(zip(zip(*(group[c] for c in VERTEX), strict=True), own, strict=True))
+        if tuple(np.frombuffer(digest, np.int64)) == vertex[1:]
+    }
+    vertices = sorted(keep)
+    at = [keep[v] for v in vertices]
     sets = [sets[k] for k in at]
-    ids, copies, side = (np.array([group[c][k] for k in at], np.int64) for c in ("rep", "copies", "side"))
+    copies, side = (np.array([group[c][k] for k in at], np.int64) for c in ("copies", "side"))
     one, two = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    out: dict[str, list] = {f.name: [] for f in VERIFIED}
     if not len(one) or not len(two):
-        return {"a": [], "b": [], "links": []}
+        return out
     hit = linked([sets[i] for i in one], [sets[i] for i in two], threshold)
     if (side == 2).all():
         np.fill_diagonal(hit, False)
     # a diagonal task meets each pair from both sides, so only links of its rows count there
-    links = np.zeros(len(ids), np.int64)
+    links = np.zeros(len(vertices), np.int64)
     links[one] += hit @ copies[two]
     if not (side == 2).all():
         links[two] += copies[one] @ hit
     some = np.flatnonzero(links)
-    edges = _forest(hit, ids[one], ids[two])
-    return {"a": [*ids[some], *(e[0] for e in edges)], "b": [*[None] * len(some), *(e[1] for e in edges)], "links": [*links[some], *[0] * len(edges)]}
+    edges = _forest(hit, one, two)
+    for k, c in enumerate(VERTEX):
+        out[f"a_{c}"] = [*(vertices[i][k] for i in some), *(vertices[i][k] for i, _ in edges)]
+        out[f"b_{c}"] = [*[None] * len(some), *(vertices[j][k] for _, j in edges)]
+    out["links"] = [*links[some], *[0] * len(edges)]
+    return out
+
+
+def _blocks(placed: DataFrame) -> DataFrame:
+    """placed with ``block``: within a component, vertices that agree in their first band stand together, in as many blocks
+    as their number and size ask for."""
+    size = lambda of: F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(of) / BLOCK_SHINGLES), F.lit(1))
+    whole = placed.groupBy("label").agg(size("size").alias("near"))
+    near = placed.join(whole, "label").withColumn("near", F.pmod(F.xxhash64(F.col("bands")[0]), F.col("near")))
+    cut = near.groupBy("label", "near").agg(size("size").alias("cuts"))
+    cut = near.join(cut, ["label", "near"]).withColumn("cut", F.pmod(F.xxhash64("v"), F.col("cuts")))
+    return cut.withColumn("block", F.col("near") * (1 << 31) + F.col("cut")).drop("near", "cut", "cuts")
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id, n_links. class_id: the least id of the documents joined by chains of links; n_links: with how
     many other documents this one's similarity reaches the threshold."""
     spark = docs.sparkSession
-    rows = materialise(signed(docs, threshold, recall, words, id_col, text_col), "signed")
+    temporary: list[DataFrame] = []
+
+    def written(df: DataFrame, kind: str) -> DataFrame:
+        temporary.append(materialise(df, kind))
+        return temporary[-1]
+
+    rows = written(signed(docs, threshold, recall, words, id_col, text_col), "signed")
     name = ["set_a", "set_b"]
-    reps = materialise(
-        rows.where("size > 0 and doc_id is not null").groupBy(*name).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("size").alias("size"), F.first("bands").alias("bands")), "reps"
+    vertex = F.struct(*VERTEX)
+    reps = written(
+        rows.where("size > 0 and doc_id is not null")
+        .groupBy(*name)
+        .agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("size").alias("size"), F.first("bands").alias("bands"))
+        .withColumn("v", vertex),
+        "reps",
     )
-    members = reps.select("rep", F.posexplode("bands").alias("band", "hash"))
+    members = reps.select("v", F.posexplode("bands").alias("band", "hash"))
     # written apart, so that the join's sides are plain shuffles, of which a hot bucket can be split
-    shared = materialise(members.groupBy("band", "hash").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n"), "shared")
-    links = members.join(shared, ["band", "hash"]).where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b"))
+    shared = written(members.groupBy("band", "hash").agg(F.min("v").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n"), "shared")
+    links = members.join(shared, ["band", "hash"]).where("v <> leader").select(F.col("leader").alias("a"), F.col("v").alias("b"))
     label = components(links)
-    placed = label.withColumnRenamed("id", "rep").join(reps.select("rep", "copies", "size", "set_a"), "rep")
-    cut = placed.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_SHINGLES), F.lit(1)).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    # each representative meets every block: as the left of blocks after its own, as the right of those before
-    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(F.col("block"), k).alias("i"), F.greatest(F.col("block"), k).alias("j"), F.when(k == F.col("block"), 2).when(k > F.col("block"), 0).otherwise(1).alias("side")))
-    # the diagonal task of a block and the tasks with other blocks are told apart by i and j; a block's rows stand on one side of each
-    dealt = placed.join(cut, "label").withColumn("block", block).select("rep", "copies", "set_a", "label", F.explode(meets).alias("m")).select("rep", "copies", "set_a", "label", "m.i", "m.j", "m.side")
+    temporary.append(label)
+    placed = written(_blocks(label.withColumnRenamed("id", "v").join(reps.select("v", "copies", "size", "bands"), "v")), "placed")
+    # blocks of a component that share a band's hash meet; a bucket gives a row for each block in it, not for each vertex
+    held = placed.select("label", "block", F.posexplode("bands").alias("band", "hash")).distinct()
+    one, two = held.withColumnRenamed("block", "i"), held.withColumnRenamed("block", "j")
+    met = one.join(two, ["label", "band", "hash"]).where("i < j").select("label", "i", "j").distinct()
+    both = met.select("label", "i", "j", F.explode(F.array(F.struct(F.col("i").alias("block"), F.lit(0).alias("side")), F.struct(F.col("j").alias("block"), F.lit(1).alias("side")))).alias("m"))
+    alone = placed.select("label", F.col("block").alias("i"), F.col("block").alias("j"), "block", F.lit(2).alias("side")).distinct()
+    meets = written(both.select("label", "i", "j", "m.block", "m.side").unionByName(alone), "meets")
+    dealt_out = placed.select("v", "copies", "size", "label", "block").join(meets, ["label", "block"])
+    task = written(dealt_out.select("v.*", "copies", "size", F.xxhash64("label", "i", "j").alias("task"), "side"), "tasks")
+    shingled = task.agg(F.sum("size")).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(shingled) // BLOCK_SHINGLES))
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
-    wanted = texts.join(dealt, "rep")
-    spread = wanted.repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), "label", "i", "j").sortWithinPartitions("label", "i", "j")
+    spread = texts.join(task, "rep").select(*VERTEX, "copies", "task", "side", "text").repartition(parts, "task").sortWithinPartitions("task")
 
     def run(batches):
         group: dict[str, list] = {}
         key = None
-        out = {"a": [], "b": [], "links": []}
+        out: dict[str, list] = {f.name: [] for f in VERIFIED}
         for rb in batches:
             cols = {c: rb.column(c).to_pylist() for c in rb.schema.names}
             for r in range(rb.num_rows):
-                k = (cols["label"][r], cols["i"][r], cols["j"][r])
+                k = cols["task"][r]
                 if k != key:
                     if key is not None:
                         for c, v in _verify(group, threshold, words).items():
                             out[c] += v
-                        if len(out["a"]) > 10_000:
+                        if len(out["links"]) > 10_000:
                             yield batch(out, VERIFIED)
-                            out = {"a": [], "b": [], "links": []}
-                    key, group = k, {"rep": [], "copies": [], "set_a": [], "side": [], "text": []}
+                            out = {f.name: [] for f in VERIFIED}
+                    key, group = k, {c: [] for c in (*VERTEX, "copies", "side", "text")}
                 for c in group:
                     group[c].append(cols[c][r])
         if key is not None:
@@ -257,14 +298,19 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
                 out[c] += v
         yield batch(out, VERIFIED)
 
-    verified = materialise(spread.select("rep", "copies", "set_a", "label", "i", "j", "side", "text").mapInArrow(run, "a bigint, b bigint, links bigint"), "verified")
-    n_links = verified.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    classes = components(verified.where("b is not null").select("a", "b")).select(F.col("id").alias("rep"), F.col("label").alias("class_id"))
-    known = reps.select(*name, "rep", "copies").join(n_links, "rep", "left").join(classes, "rep", "left")
+    verified = written(spread.mapInArrow(released(run), VERIFIED_DDL), "verified")
+    side = lambda x: F.struct(*(F.col(f"{x}_{c}").alias(c) for c in VERTEX))
+    n_links = verified.where("b_rep is null").groupBy(side("a").alias("v")).agg(F.sum("links").alias("links"))
+    found = components(verified.where("b_rep is not null").select(side("a").alias("a"), side("b").alias("b")))
+    temporary.append(found)
+    classes = found.select(F.col("id").alias("v"), F.col("label.rep").alias("class_id"))
+    known = reps.select(*name, "rep", "copies", "v").join(n_links, "v", "left").join(classes, "v", "left")
     known = known.select(*name, F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     named = rows.where("size > 0 and doc_id is not null").select("doc_id", *name).join(known, name).select("doc_id", "class_id", "n_links")
-    alone = rows.where("size = 0 or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return named.unionByName(alone)
+    lone = rows.where("size = 0 or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    result = materialise(named.unionByName(lone), "classes")
+    discard(*temporary)
+    return result
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -55,6 +55,22 @@ def test_equals_brute_force_with_blocks_of_any_size(spark, monkeypatch):
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {c for _, c, _ in brute(rows)}
 
 
+def test_ids_with_several_texts(spark):
+    rng = np.random.default_rng(4)
+    a, b = (" ".join(f"{k}{x}" for x in rng.integers(0, 10**6, 100)) for k in "ab")
+    for rows in ([(1, a), (1, b), (2, a + " z"), (3, b + " z")], [(1, a), (1, a + " w"), (2, a + " z"), (3, a + " w y")]):
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        assert sorted(map(tuple, J.join(df).collect())) == brute(rows)
+
+
+def test_very_long_texts(spark):
+    rng = np.random.default_rng(6)
+    long = [f"w{x}" for x in rng.integers(0, 10**6, 150_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[:140_000])), (3, " ".join(long[:100])), (4, "word " * 200_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, J.join(df).collect())) == brute(rows)
+
+
 def test_empty_and_null_id(spark):
     df = spark.createDataFrame([(None, "a b c d e f")], "doc_id long, text string")
     assert J.join(df.limit(0)).count() == 0 and J.keep_one(df.limit(0)).count() == 0
