@@ -7,14 +7,15 @@ excluded from the shorter ones; below order 0 all bytes not yet ruled out are eq
 to the language whose tree gives it the fewest bits, and the score is that language's posterior probability
 under equal priors.
 
-Training takes at most ``MAX_TRAINING_ROWS`` labelled rows of each language, chosen by a hash of the id,
-with their whole texts. As the bytes a longer context has seen are always a part of those that a shorter one
+Training takes at most ``MAX_TRAINING_ROWS`` labelled rows of each language, those with the least hashes of id and
+text, with their whole texts. As the bytes a longer context has seen are always a part of those that a shorter one
 has, what is excluded can be summed once for each context, and a byte with its three predecessors has one
 fixed price in every language: prices of all four-byte strings seen in training are tabled, others are
 worked out when met.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0, as is every text when nothing
-was learned; ties go to the language first by name; repeated rows get equal results; extra columns are ignored.
+was learned; ties go to the language first by name; repeated rows get equal results; texts of any length are priced
+whole; an empty table gives no rows; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -24,10 +25,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, concat_utf8, texts_of, tune
+from .common import batch, concat_utf8, dealt, texts_of, tune
 
 ORDER = 3
 MAX_TRAINING_ROWS = 3000
@@ -128,7 +129,7 @@ class Model:
         if self._table is None:
             codes = np.unique(np.concatenate([t.codes for t in self.trees])).astype(np.int64)
             pairs = np.unique(np.concatenate([codes >> 16, codes & 0xFFFF]))
-            prices = np.stack([t.bits(codes) for t in self.trees], 1).astype(np.float32)
+            prices = np.stack([t.bits(codes) for t in self.trees], 1)
             square = None
             number = np.zeros(1 << 16, np.int32)
             if len(pairs) <= MOST_PAIRS:
@@ -179,20 +180,34 @@ class Model:
         return langs, scores
 
 
+def drawn(rows: DataFrame, max_rows: int) -> DataFrame:
+    """text, lang of the ``max_rows`` rows of each language with the least hashes of id and text, of all rows where there
+    are fewer; rows that repeat both count once."""
+    h = F.xxhash64("id", "text")
+    hashed = rows.withColumn("h", h)
+    # about twice as many as wanted, so that a language of any size sends a bounded number of hashes to be ranked
+    sizes = hashed.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
+    names = {r["lang"]: r["n"] for r in sizes.collect()}  # languages are few: their names go back, however many rows they have
+    if not names:
+        return rows.select("text", "lang")
+    table = lambda of: F.create_map(*(x for k in sorted(names) for x in (F.lit(k), F.lit(of[k]))))
+    few = hashed.where(F.col("h") <= table({k: bound_of(n, max_rows) for k, n in names.items()})[F.col("lang")])
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    last = few.select("lang", "h").distinct().withColumn("place", place).where(F.col("place") <= max_rows).groupBy("lang").agg(F.max("h").alias("last"))
+    bounds = {r["lang"]: r["last"] for r in last.collect()}
+    bounds |= {k: -(1 << 63) for k in names if k not in bounds}
+    return hashed.where(F.col("h") <= table(bounds)[F.col("lang")]).dropDuplicates(["lang", "h"]).select("text", "lang")
+
+
+def bound_of(n: int, max_rows: int) -> int:
+    """The hash below which about twice ``max_rows`` of n distinct hashes lie, the greatest where there are no more."""
+    return (1 << 63) - 1 if n <= 2 * max_rows else -(1 << 63) + (1 << 64) * 2 * max_rows // n
+
+
 def train(labelled: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> Model:
     """labelled: id, text, lang; rows whose lang is null are no training rows."""
-    spark = labelled.sparkSession
-    tune(spark)
-    rows = labelled.where(F.col("lang").isNotNull())
-    # a share of each language that leaves about max_rows of them, counted without reading a text
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    share = sizes.select("lang", F.least(F.lit(1.0), F.lit(float(max_rows)) / F.col("n")).alias("share"))
-    # languages are few: their names go back as a map, however many rows they have
-    shares = {r["lang"]: r["share"] for r in share.collect()}
-    if not shares:
-        return Model([], [])
-    cut = F.create_map(*(x for lang, s in sorted(shares.items()) for x in (F.lit(lang), F.lit(int(s * 1_000_000)))))
-    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < cut[F.col("lang")]).select("text", "lang")
+    tune(labelled.sparkSession)
+    sample = drawn(labelled.where(F.col("lang").isNotNull()).select("id", "text", "lang"), max_rows)
     schema = pa.schema([("lang", pa.string()), ("code", pa.int64()), ("n", pa.int64())])
 
     def count(batches):
@@ -205,6 +220,8 @@ def train(labelled: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> Model:
                     yield batch({"lang": [lang] * len(codes), "code": codes.astype(np.int64), "n": n}, schema)
 
     got = sample.mapInArrow(count, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
+    if got.empty:
+        return Model([], [])
     trees = {lang: Tree(part["code"].to_numpy(np.int64), part["n"].to_numpy(float)) for lang, part in got.groupby("lang")}
     langs = sorted(trees)
     return Model(langs, [trees[lang] for lang in langs])
@@ -223,4 +240,4 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             langs, scores = shared.value.predict(rb.column("text").to_pylist())
             yield batch({"doc_id": rb.column("id"), "lang_pred": langs, "score": scores}, PREDICTED)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, lang_pred string, score double")
+    return dealt(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))).mapInArrow(run, "doc_id bigint, lang_pred string, score double")

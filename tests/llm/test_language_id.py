@@ -72,3 +72,24 @@ def test_train_and_predict(spark):
     assert L.train(df.limit(0)).langs == []
     assert {r["lang_pred"] for r in L.predict(test, L.Model([], [])).collect()} == {"und"}
     assert L.predict(test.limit(0), model).count() == 0
+
+
+def test_a_draw_is_bounded_and_never_empty(spark):
+    """Rows of a language with very many are a small share; with repeated rows, and languages of few rows."""
+    rows = [(i, f"text {i}", "en") for i in range(6000)] + [(7, "again", "en")] * 4000 + [(i, f"texte {i}", "fr") for i in range(3)] + [(None, None, "de")] * 5
+    df = spark.createDataFrame(rows, "id long, text string, lang string")
+    for most in (1, 5, 4000):
+        got = Counter(r["lang"] for r in L.drawn(df, most).collect())
+        assert got == {"en": most, "fr": min(3, most), "de": 1}
+    assert sorted(map(tuple, L.drawn(df, 5).collect()), key=str) == sorted(map(tuple, L.drawn(df.repartition(7), 5).collect()), key=str)
+    assert L.bound_of(6000, 3000) == (1 << 63) - 1
+    for n in (10**9, 10**12, 10**15):
+        share = (L.bound_of(n, 3000) + (1 << 63)) / (1 << 64)
+        assert share > 0 and abs(share * n - 6000) < 1
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "the cat", "x", 0.5, True, 3)], "doc_id long, text string, lang_pred string, score double, held_out boolean, id long")
+    model = L.Model(["en"], [tree_of(["the cat"])])
+    got = L.predict(df, model).collect()
+    assert [(r["doc_id"], r["lang_pred"]) for r in got] == [(1, "en")] and len(got[0]) == 3
