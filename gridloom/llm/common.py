@@ -83,9 +83,13 @@ def materialise(df: DataFrame, kind: str = "stage", path: str | None = None) ->
 def discard(*tables: DataFrame) -> None:
     """Delete what materialise() wrote, once nothing reads it any more."""
     for df in tables:
-        context = df.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(df._stored_at)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, df._stored_at)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def texts_of(column: pa.Array) -> list[str]:

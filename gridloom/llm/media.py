@@ -6,7 +6,8 @@ resolution, and blocks beyond the payload are zero. Reading decodes every scan,
 arrays, and makes the full-resolution RGB tensor.
 
 Defined results: null and empty texts have a payload of UNIT bytes 255; equal texts have equal files and tensors;
-repeated rows are coded each; an empty table gives no rows; extra columns are ignored.
+repeated rows are coded each; a very long text is one large picture, coded in strips; an empty table gives no rows; extra
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import progressive as P
-from .common import batch, blocks, texts_of, tune
+from .common import batch, blocks, dealt, released, texts_of, tune
 
 UNIT = 576
 SAMPLING = ((2, 2), (1, 1), (1, 1))
@@ -82,7 +83,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             for a, b in blocks((len(p) for _, p in got), BLOCK_BYTES):
                 yield batch({"doc_id": ids.slice(a, b - a), "n_bytes": [n for n, _ in got[a:b]], "media": encode_payloads([p for _, p in got[a:b]])}, STORED)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, n_bytes bigint, media binary")
+    return dealt(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))).mapInArrow(released(run), "doc_id bigint, n_bytes bigint, media binary")
 
 
 def tensors(stored: DataFrame, with_tensors: bool = True) -> DataFrame:
@@ -115,4 +116,4 @@ def tensors(stored: DataFrame, with_tensors: bool = True) -> DataFrame:
                         cols[c].append(v)
                 yield batch(cols, schema)
 
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, ddl)
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(released(run), ddl)

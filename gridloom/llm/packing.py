@@ -9,8 +9,8 @@ for each length, consecutive ranks belong to consecutive sequences of one combin
 among the pieces of its length is counted on the executors in buckets of a hash of the id, so neither a
 length nor an id that many rows share meets in one task.
 
-Defined results: null and empty texts are one piece, the closing id; repeated rows are packed each;
-an empty table gives no rows; extra columns are ignored.
+Defined results: null and empty texts are one piece, the closing id; repeated rows are packed each; a very long text is
+cut into as many pieces as it takes; an empty table gives no rows; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, materialise, texts_of, tune
+from .common import batch, dealt, materialise, released, texts_of, tune
 
 WINDOW = 1024
 #: Texts within these code points are split and merged alike by both tokenizer libraries; others go
@@ -91,7 +91,7 @@ def pieces(docs: DataFrame, tokens: Tokenization, window: int = WINDOW, id_col:
                         cols[k].append(v)
             yield batch(cols, PIECES)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES_DDL)
+    return dealt(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))).mapInArrow(released(run), PIECES_DDL)
 
 
 def combinations(lengths: np.ndarray, window: int) -> np.ndarray:
@@ -207,7 +207,7 @@ PACKED = pa.schema([*PIECES, ("sequence_id", pa.int64()), ("offset", pa.int64())
 PACKED_DDL = PIECES_DDL + ", sequence_id bigint, offset bigint"
 
 
-def pack(docs: DataFrame, tokens: Tokenization, window: int = WINDOW, rows_per_bucket: int = 50_000, **columns: str) -> DataFrame:
+def pack(docs: DataFrame, tokens: Tokenization, window: int = WINDOW, rows_per_bucket: int = 10_000, **columns: str) -> DataFrame:
     """One row for each piece: where it stands in its document and in its sequence."""
     cut = materialise(pieces(docs, tokens, window, **columns), "pieces")
     by_length = cut.groupBy("length").agg(F.count("*").alias("n"))

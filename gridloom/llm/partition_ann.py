@@ -7,8 +7,8 @@ finds most probable, and a query visits the several most probable parts, as many
 the fit has not seen asks for, and further ones until those visited hold enough rows for all its ranks. In
 each part visited all rows are scored in double precision; the best of all parts are merged.
 
-Parts are dealt to tasks in blocks of at most ``BLOCK_ROWS`` rows and queries, so a part that holds a third of
-all rows is many tasks, and ties at the last rank are settled exactly among all rows visited.
+Small parts are grouped, and groups dealt to tasks in blocks of about ``BLOCK_ROWS`` rows and queries, so a query's
+vector goes once to each block, a part that holds a third of all rows is many tasks, and ties at the last rank are settled exactly among all rows visited.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor do those whose
 length is not the commonest (of equally common lengths the larger); rows that repeat a query's id are the
@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batch, materialise, tune
@@ -180,10 +180,10 @@ def fit(sample: np.ndarray, total: int, k: int = NEIGHBOURS, target_recall: floa
     return router
 
 
-def _top(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int):
-    """Of each query the k best of x in order, ties to smaller ids: arrays of query place, id, score."""
+def _top(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int, visits: np.ndarray):
+    """Of each query the k best of those of x that it visits, in order, ties to smaller ids: arrays of query place, id, score."""
     rough = q @ x.T
-    rough[qid[:, None] == xid[None, :]] = -np.inf
+    rough[~visits | (qid[:, None] == xid[None, :])] = -np.inf
     kth = np.partition(rough, -k, axis=1)[:, -k] if rough.shape[1] > k else np.full(len(q), -np.inf)
     scale = np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max()
     row, col = np.nonzero((rough >= (kth - 1e-9 * scale)[:, None]) & (rough > -np.inf))
@@ -195,6 +195,17 @@ def _top(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int)
     return row[keep], xid[col[keep]], exact[keep]
 
 
+def grouped(held: np.ndarray, rows: int) -> np.ndarray:
+    """A group for each part: parts side by side that hold about so many rows in all, large ones alone."""
+    out, group, total = np.zeros(len(held), np.int64), 0, 0
+    for part, n in enumerate(held):
+        if total and total + n > rows:
+            group, total = group + 1, 0
+        out[part] = group
+        total += int(n)
+    return out
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = np.asarray(column.flatten(), np.float64)
     return flat.reshape(len(column), -1)
@@ -219,69 +230,82 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_c
                 part = shared.value.ranked(_matrix(rb.column("vec")), 1)
                 yield batch({"part": part.ravel(), "id": rb.column("id"), "vec": rb.column("vec")}, placed_schema)
 
-    ddl = "part int, id bigint, vec array<double>"
-    index = materialise(rows.mapInArrow(place, ddl), "index")
+    index = materialise(rows.mapInArrow(place, "part int, id bigint, vec array<double>"), "index")
     held = np.zeros(router.parts, np.int64)
     for r in index.groupBy("part").agg(F.count("*").alias("n")).collect():  # a number for each of the parts, which the sample bounds
         held[r["part"]] = r["n"]
-    sizes = spark.sparkContext.broadcast(held)
+    group = grouped(held, BLOCK_ROWS)
+    sizes = spark.sparkContext.broadcast((held, group))
+    asked_schema = pa.schema([("group", pa.int32()), ("id", pa.int64()), ("parts", pa.list_(pa.int32()))])
 
     def ask(batches):
         for rb in batches:
             if not rb.num_rows:
                 continue
+            held, group = sizes.value
             part = shared.value.ranked(_matrix(rb.column("vec")), shared.value.parts)
             # rows of the query's own id are no candidates, so as many more must be visited, wherever they are
-            short = np.cumsum(sizes.value[part], axis=1) < k + np.asarray(rb.column("own"))[:, None]
+            short = np.cumsum(held[part], axis=1) < k + np.asarray(rb.column("own"))[:, None]
             most = np.maximum(shared.value.probes, np.minimum(short.sum(axis=1) + 1, part.shape[1]))
-            at, rank = np.nonzero(np.arange(part.shape[1]) < most[:, None])
-            take = pa.array(at)
-            yield batch({"part": part[at, rank], "id": rb.column("id").take(take), "vec": rb.column("vec").take(take)}, placed_schema)
+            at, rank = np.nonzero((np.arange(part.shape[1]) < most[:, None]) & (held[part] > 0))
+            visited = part[at, rank]
+            order = np.lexsort((visited, group[visited], at))
+            at, visited = at[order], visited[order]
+            to = group[visited]
+            first = np.flatnonzero(np.concatenate([np.ones(min(1, len(at)), bool), (at[1:] != at[:-1]) | (to[1:] != to[:-1])]))
+            lists = pa.ListArray.from_arrays(pa.array([*first, len(at)], pa.int32()), pa.array(visited, pa.int32()))
+            yield batch({"group": to[first], "id": rb.column("id").take(pa.array(at[first])), "parts": lists}, asked_schema)
 
     wanted = usable(queries, id_col, vec_col).dropDuplicates(["id"])
     own_rows = index.groupBy("id").agg(F.count("*").alias("own"))
-    asked = materialise(wanted.join(own_rows, "id", "left").select("id", "vec", F.coalesce("own", F.lit(0)).alias("own")).mapInArrow(ask, ddl), "asked")
-    # blocks of each part: a few numbers for each of the parts, which the sample bounds
-    count = lambda df, name: df.groupBy("part").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias(name))
-    blocks = F.broadcast(count(index, "bx").join(count(asked, "bq"), "part"))
+    asked = materialise(
+        wanted.join(own_rows, "id", "left").select("id", "vec", F.coalesce("own", F.lit(0)).alias("own")).mapInArrow(ask, "group int, id bigint, parts array<int>"), "asked"
+    )
+    # blocks of each group: a few numbers for each of the parts, which the sample bounds
+    of_part = F.broadcast(spark.createDataFrame([(p, int(g)) for p, g in enumerate(group)], "part int, group int"))
+    rows_of = index.join(of_part, "part")
+    count = lambda df, name: df.groupBy("group").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias(name))
+    blocks = F.broadcast(count(rows_of, "bx").join(count(asked, "bq"), "group"))
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = index.join(blocks, "part").select("part", own("bx").alias("sx"), every("bq").alias("sq"), F.lit(0).alias("query"), "id", "vec")
-    right = asked.join(blocks, "part").select("part", every("bx").alias("sx"), own("bq").alias("sq"), F.lit(1).alias("query"), "id", "vec")
+    left = rows_of.join(blocks, "group").select("group", own("bx").alias("sx"), every("bq").alias("sq"), F.lit(0).alias("query"), "id", "vec", F.array("part").alias("parts"))
+    # a query's vector goes once to each block of rows, with the parts that it visits there
+    right = asked.join(blocks, "group").join(wanted, "id").select("group", every("bx").alias("sx"), own("bq").alias("sq"), F.lit(1).alias("query"), "id", "vec", "parts")
     # about as many tasks as blocks of work, a partition holding a few
     n_blocks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = left.unionByName(right).repartition(max(n_blocks, min(2000, total // BLOCK_ROWS)), "part", "sx", "sq").sortWithinPartitions("part", "sx", "sq", "query")
-    hit = pa.struct([("less", pa.float64()), ("vec_id", pa.int64())])
-    found_schema = pa.schema([("query_id", pa.int64()), ("hits", pa.list_(hit))])
+    dealt = left.unionByName(right).repartition(max(n_blocks, total // BLOCK_ROWS), "group", "sx", "sq").sortWithinPartitions("group", "sx", "sq", "query")
+    found_schema = pa.schema([("query_id", pa.int64()), ("less", pa.float64()), ("vec_id", pa.int64())])
 
     def visit(batches):
-        key, xs, xids, x, xid = None, [], [], None, None
+        key, held, x, xid, xpart = None, [], None, None, None
         for rb in batches:
             if not rb.num_rows:
                 continue
-            keys = np.stack([np.asarray(rb.column(c)) for c in ("part", "sx", "sq", "query")], 1)
+            keys = np.stack([np.asarray(rb.column(c)) for c in ("group", "sx", "sq", "query")], 1)
             ids, vecs = np.asarray(rb.column("id")), _matrix(rb.column("vec"))
+            parts, ends = np.asarray(rb.column("parts").flatten()), np.cumsum(np.asarray(rb.column("parts").value_lengths()))
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(keys)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if tuple(keys[a, :3]) != key:
-                    key, xs, xids, x = tuple(keys[a, :3]), [], [], None
+                    key, held, x = tuple(keys[a, :3]), [], None
                 if keys[a, 3] == 0:
-                    xs.append(vecs[a:b])
-                    xids.append(ids[a:b])
+                    held.append((vecs[a:b], ids[a:b], parts[ends[a] - 1 : ends[b - 1]]))
                     continue
                 if x is None:
-                    if not xs:
+                    if not held:
                         continue
-                    x, xid = np.concatenate(xs), np.concatenate(xids)
+                    x, xid, xpart = (np.concatenate(c) for c in zip(*held, strict=True))
                 for s in range(a, b, 512):
                     e = min(b, s + 512)
-                    row, vid, score = _top(vecs[s:e], ids[s:e], x, xid, k)
-                    ends = pa.array(np.searchsorted(row, np.arange(e - s + 1)), pa.int32())
-                    hits = pa.StructArray.from_arrays([pa.array(0.0 - score), pa.array(vid)], fields=list(hit))
-                    yield batch({"query_id": ids[s:e], "hits": pa.ListArray.from_arrays(ends, hits)}, found_schema)
-
-    found = dealt.mapInArrow(visit, "query_id bigint, hits array<struct<less: double, vec_id: bigint>>")
-    # k hits from each block visited: as many lists as a query has blocks, ordered by falling score, then id
-    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("hits"))), 1, k).alias("hits"))
-    ranked = best.select("query_id", F.posexplode("hits").alias("at", "hit"))
-    return ranked.select("query_id", (F.col("at") + 1).alias("rank"), "hit.vec_id", (F.lit(0.0) - F.col("hit.less")).alias("score"))
+                    owner = np.repeat(np.arange(e - s), np.diff(np.concatenate([[ends[s - 1] if s else 0], ends[s:e]])))
+                    visits = np.zeros((e - s, router_parts), bool)
+                    visits[owner, parts[(ends[s - 1] if s else 0) : ends[e - 1]]] = True
+                    row, vid, score = _top(vecs[s:e], ids[s:e], x, xid, k, visits[:, xpart])
+                    yield batch({"query_id": ids[s:e][row], "less": 0.0 - score, "vec_id": vid}, found_schema)
+
+    router_parts = router.parts
+    found = dealt.mapInArrow(visit, "query_id bigint, less double, vec_id bigint")
+    # each task keeps a query's k best before they are shuffled, and again after
+    order = Window.partitionBy("query_id").orderBy("less", "vec_id")
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.select("query_id", "rank", "vec_id", (F.lit(0.0) - F.col("less")).alias("score"))

@@ -8,7 +8,9 @@ a byte range of the original.
 
 Defined results: null and empty texts have no pieces and decode to the empty text; every other text's
 pieces cover it without gaps but for what the character map drops. Of a character spelled in byte pieces, the
-last has the character's range and the others are empty ranges at its start.
+last has the character's range and the others are empty ranges at its start. Repeated rows are encoded each; texts of any
+length are taken whole; an empty table gives no rows; extra columns, whatever their names, are ignored. Ids are decoded by
+the library's own ``decode``.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, texts_of, tune
+from .common import batch, dealt, released, texts_of, tune
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
@@ -142,6 +144,7 @@ class PieceModel:
         self.dummy, self.squeeze, self.escape = (bool(spec.get(k, 1)) for k in (3, 4, 5))
         self.user = sorted((p for p, k in zip(self.pieces, self.kinds, strict=True) if k == USER), key=len, reverse=True)
         plain = b"\x0a\x08identity\x12\x00\x18\x00\x20\x00\x28\x00"  # no map, no dummy prefix, spaces as they are
+        self.library = sentencepiece.SentencePieceProcessor(model_proto=raw)
         self.merger = sentencepiece.SentencePieceProcessor(model_proto=b"".join(rest) + b"\x1a" + bytes([len(plain)]) + plain)
         inside = re.compile(f"[^{SPACE}]{SPACE}".encode())
         self.by_word = self.escape and not any(inside.search(p) or SPACE in p.decode("utf-8", "replace").lstrip(SPACE) for p in self.pieces)
@@ -377,7 +380,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches):
         model = model_at(path)
         for rb in batches:
-            yield batch({"doc_id": rb.column("doc_id"), "text": [model.decode(ids or []) for ids in rb.column("ids").to_pylist()]}, schema)
+            yield batch({"doc_id": rb.column("doc_id"), "text": model.library.decode([ids or [] for ids in rb.column("ids").to_pylist()])}, schema)
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")
 
@@ -395,15 +398,16 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             texts, doc_ids = texts_of(rb.column("text")), rb.column("id")
             for a, b in _by_blocks(texts):
                 got = model.encode_all(texts[a:b])
+                decoded = model.library.decode([g.ids.tolist() for g in got])
                 yield batch(
                     {
                         "doc_id": doc_ids.slice(a, b - a),
                         "n_tokens": [len(g.ids) for g in got],
                         "ids_sha256": [hashlib.sha256(g.ids_text.encode()).hexdigest() for g in got],
-                        "decoded_sha256": [hashlib.sha256(g.decoded.encode("utf-8", "surrogatepass")).hexdigest() for g in got],
+                        "decoded_sha256": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in decoded],
                         "spans_crc32": [zlib.crc32(g.end.astype("<i4").tobytes(), zlib.crc32(g.begin.astype("<i4").tobytes())) for g in got],
                     },
                     DIGESTS,
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, spans_crc32 bigint")
+    return dealt(docs.select(F.col("doc_id").cast("long").alias("id"), "text")).mapInArrow(released(run), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, spans_crc32 bigint")

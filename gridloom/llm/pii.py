@@ -1,12 +1,13 @@
 """Personal data by anchor expansion.
 
 An Aho-Corasick automaton reports the places where personal data may stand: at-signs, plus signs,
-digits, URL schemes and words that announce an account. At each, a deterministic local parser expands
+digits, URL schemes and words that announce an account, these in any case of letters. At each, a deterministic local parser expands
 to the boundaries of an email address, an IP address, a card, telephone or account number or a URL, and
 validates it. Nothing else of the text is looked at.
 
-Defined results: null and empty texts hold no span; repeated rows get the same spans; spans of one kind
-never overlap, spans of different kinds may. Columns of the input are passed through untouched by
+Defined results: null and empty texts hold no span; repeated rows get the same spans; texts of any length are read whole;
+an empty table gives no rows; spans of one kind never overlap, spans of different kinds may, and those that start at
+one place are listed in the order of KINDS. Columns of the input are passed through untouched by
 ``redact``; ``find`` returns its own columns only, so clashing names do no harm.
 """
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, texts_of, tune
+from .common import batch, dealt, released, texts_of, tune
 
 #: In the order in which spans with one start are listed. The first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "url", "account")
@@ -48,12 +49,9 @@ def automaton() -> ahocorasick.Automaton:
         found.add_word(c, ("digit", 1))
     found.add_word("@", ("at", 1))
     found.add_word("+", ("plus", 1))
-    for s in SCHEMES:
-        for w in {s, s.upper(), s.capitalize()}:
-            found.add_word(w, ("scheme", len(w)))
-    for s in CUES:
-        for w in {s, s.upper(), s.capitalize(), s.title()}:
-            found.add_word(w, ("cue", len(w)))
+    for kind, words in (("scheme", SCHEMES), ("cue", CUES)):
+        for w in words:
+            found.add_word(w, (kind, len(w)))
     found.make_automaton()
     return found
 
@@ -81,7 +79,10 @@ def spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, end exclusive, ordered by start, then kind."""
     found: list[tuple[str, int, int]] = []
     email_end = dotted_end = chain_end = phone_end = url_end = account_end = 0
-    for last, (anchor, width) in automaton().iter(text):
+    low = text.lower()
+    if len(low) != len(text):  # a character that has several in lower case
+        low = "".join(c.lower() if c < "\x80" else c for c in text)
+    for last, (anchor, width) in automaton().iter(low):
         if anchor == "digit":
             if last >= dotted_end:
                 m = _DOTTED.match(text, last)
@@ -168,7 +169,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 cols["spans"].append(spelled(got))
             yield batch(cols, FOUND)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, FOUND_DDL)
+    return dealt(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))).mapInArrow(released(run), FOUND_DDL)
 
 
 def redact(docs: DataFrame) -> DataFrame:

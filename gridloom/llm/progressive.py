@@ -647,56 +647,58 @@ def _items_first(block: np.ndarray, lane: np.ndarray, table: bytes, first: int,
 
 def _items_refine(block: np.ndarray, lane: np.ndarray, table: bytes, first: int, last: int, low: int):
     code, bits = coder(table)
-    band = block[:, first : last + 1].astype(np.int64)
-    mag = np.abs(band) >> low
-    known = mag > 1
-    # the end-of-block code and the bits of a row, up to 95 in all, as three items
+    band = block[:, first : last + 1]
+    mag = (np.abs(band) >> low).astype(np.int16)
+    becomes = (mag == 1).any(axis=1)
+    plain, fresh = np.flatnonzero(~becomes), np.flatnonzero(becomes)
+    # elsewhere, the end-of-block code and the bits of a row, up to 95 in all, as three items
     n_code = int(bits[0])
-    single = np.zeros((len(block), 96), np.uint8)
+    single = np.zeros((len(plain), 96), np.uint8)
     single[:, :n_code] = [int(code[0]) >> (n_code - 1 - i) & 1 for i in range(n_code)]
+    known = mag[plain] > 1
     row, k = np.nonzero(known)
     count = known.sum(axis=1)
-    single[row, n_code + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)] = mag[row, k] & 1
+    single[row, n_code + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)] = mag[plain[row], k] & 1
     w = np.clip((count + n_code)[:, None] - [0, 32, 64], 0, 32)
     v = np.packbits(single, axis=1).view(">u4").astype(np.uint64) >> (32 - w).astype(np.uint64)
-    fresh = np.flatnonzero((mag == 1).any(axis=1))
     if not len(fresh):
         return v.ravel(), w.ravel(), np.repeat(lane, 3)
-    # blocks in which coefficients become non-zero: written out one by one
-    own: dict[int, list[tuple[int, int]]] = {}
-    for i in fresh:
-        items: list[tuple[int, int]] = []
-        held: list[tuple[int, int]] = []
-        run, end = 0, int(np.flatnonzero(mag[i] == 1)[-1])
-        for k, m in enumerate(mag[i].tolist()):
-            if m == 0:
-                run += 1
-                continue
-            while run > 15 and k <= end:
-                items.append((int(code[0xF0]), int(bits[0xF0])))
-                items += held
-                held, run = [], run - 16
-            if m > 1:
-                held.append((m & 1, 1))
-                continue
-            symbol = run << 4 | 1
-            items.append((int(code[symbol]) << 1 | int(band[i, k] > 0), int(bits[symbol]) + 1))
-            items += held
-            held, run = [], 0
-        if run or held:
-            items.append((int(code[0]), int(bits[0])))
-            items += held
-        own[int(i)] = items
-    width = v.shape[1]
-    most = max(width, *map(len, own.values()))
-    if most > width:
-        pad = np.zeros((len(block), most - width), np.int64)
-        v, w = np.concatenate([v, pad.astype(np.uint64)], 1), np.concatenate([w, pad], 1)
-    for i, items in own.items():
-        v[i], w[i] = 0, 0
-        v[i, : len(items)] = [x for x, _ in items]
-        w[i, : len(items)] = [n for _, n in items]
-    return v.ravel(), w.ravel(), np.repeat(lane, v.shape[1])
+    # blocks in which coefficients become non-zero: every code and bit gets its place among those of its block. Bits of known
+    # coefficients wait for the next code; of several codes at a coefficient they follow the first
+    m = mag[fresh]
+    new, some = m == 1, m > 0
+    width = m.shape[1]
+    k = np.arange(width, dtype=np.int16)
+    end = width - 1 - np.argmax(new[:, ::-1], axis=1)
+    behind = lambda x: np.concatenate([np.zeros((len(x), 1), x.dtype), x[:, :-1]], 1)
+    zeros = np.cumsum(~some, axis=1, dtype=np.int16)
+    run = zeros - behind(np.maximum.accumulate(zeros * new, axis=1))
+    nth = behind(np.cumsum(new, axis=1, dtype=np.int16))  # codes of new coefficients before
+    # codes for sixteen zeros come before a coefficient that is not zero; four bits hold how many a run has had
+    coded = some & (k <= end[:, None])
+    had = behind(np.maximum.accumulate((nth << 4 | run >> 4) * coded, axis=1))
+    long = ((run >> 4) - (had & 15) * (had >> 4 == nth)) * coded
+    code_at = np.where((long > 0) | new, k, np.int16(width))
+    after = np.concatenate([np.minimum.accumulate(code_at[:, ::-1], axis=1)[:, ::-1][:, 1:], np.full((len(m), 1), width, np.int16)], 1)
+    place = lambda at, step, inner: np.asarray(at, np.int64) * 512 + step * 64 + inner
+    r1, k1 = np.nonzero(long)
+    times = long[r1, k1]
+    r1, k1 = np.repeat(r1, times), np.repeat(k1, times)
+    nth1 = np.arange(len(r1)) - np.repeat(np.cumsum(times) - times, times)
+    r2, k2 = np.nonzero(new)
+    symbol = (run[r2, k2].astype(np.int64) & 15) << 4 | 1
+    r3, k3 = np.nonzero(m > 1)
+    to = after[r3, k3]
+    first = (to < width) & (long[r3, np.minimum(to, width - 1)] > 0)
+    r4 = np.flatnonzero(end < width - 1)
+    row = np.concatenate([fresh[r1], fresh[r2], fresh[r3], fresh[r4], np.repeat(plain, 3)])
+    order = np.concatenate([
+        place(k1, np.where(nth1 > 0, 2, 0), nth1), place(k2, 3, 0), place(to, np.where(first, 1, 4), k3), np.full(len(r4), int(place(width, 3, 0))), np.tile(np.arange(3), len(plain)),
+    ])
+    value = np.concatenate([np.full(len(r1), int(code[0xF0])), code[symbol].astype(np.int64) << 1 | (band[fresh[r2], k2] > 0), m[r3, k3] & 1, np.full(len(r4), int(code[0])), v.ravel().astype(np.int64)])
+    size = np.concatenate([np.full(len(r1), int(bits[0xF0])), bits[symbol].astype(np.int64) + 1, np.ones(len(r3), np.int64), np.full(len(r4), int(bits[0])), w.ravel()])
+    sort = np.argsort(row * (1 << 16) + order, kind="stable")
+    return value[sort].astype(np.uint64), size[sort], lane[row[sort]]
 
 
 def _segment(kind: int, body: bytes) -> bytes:

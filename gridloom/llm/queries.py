@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import jaccard_join, language_id, media, packing, partition_ann, piece_model, pii, suffix_dedup, toxicity, warc
-from .common import load
+from .common import load, materialise
 
 
 def op1_partition_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +31,9 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest, folder = warc.archive(load(spark, sf_dir, "pages"))
     got = warc.read(spark, manifest, folder, with_payload=False)
-    return got.select(F.col("id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+    digests = materialise(got.select(F.col("id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to"), "read")
+    warc.remove(manifest, folder)
+    return digests
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

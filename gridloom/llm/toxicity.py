@@ -9,7 +9,9 @@ over the whole text, whatever its length. Scoring covers every row and every cha
 
 Defined results: null and empty texts hold no n-gram and get the score of the intercept; with no
 labelled row at all every score is 0; with one class only, the score is that class's smoothed share.
-Repeated rows are scored alike; repeated labels of one id each count as a training row.
+Repeated rows are scored alike; of labelled rows, those that repeat id, text and label count once, and different labels
+of an id count each; equally telling n-grams are kept by name. Texts of any length are scored whole; an empty table gives no
+rows; extra columns, whatever their names, are ignored by ``score`` and passed through by ``keep_clean``.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, discard, materialise, texts_of, tune
+from .common import batch, dealt, discard, materialise, released, texts_of, tune
 
 ORDERS = (5, 6, 7)
 #: Bits of an n-gram's name, and how many of them say at once that most n-grams are no feature.
@@ -176,11 +178,29 @@ def _fit(rows: list[np.ndarray], shares: list[np.ndarray], y: np.ndarray, r: np.
     return w, b
 
 
-def train(labelled: DataFrame, max_features: int = 2048, max_against: int = 256, l2: float = 1e-3, steps: int = 600, alpha: float = 1.0) -> Model:
-    """labelled: id, text, label (0 or 1; other labels and null count as no label). max_features: n-grams that speak for
-    label 1; max_against: n-grams that speak against it, which are common ones and so more to fit on."""
-    tune(labelled.sparkSession)
+def bounded(labelled: DataFrame, max_rows: int) -> DataFrame:
+    """id, text, label: of the rows with a label the max_rows with the least hashes; rows that repeat all three count once."""
     rows = labelled.where(F.col("label").isin(0, 1)).select("id", "text", F.col("label").cast("int").alias("label"))
+    hashed = rows.withColumn("h", F.xxhash64("id", "text", "label"))
+    last = hashed.select("h").distinct().orderBy("h").limit(max_rows).agg(F.max("h")).first()[0]
+    return hashed.where(F.lit(False) if last is None else F.col("h") <= last).dropDuplicates(["h"]).drop("h")
+
+
+def train(
+    labelled: DataFrame, max_features: int = 2048, max_against: int = 256, l2: float = 1e-3, steps: int = 600, alpha: float = 1.0, max_rows: int = MAX_TRAINING_ROWS
+) -> Model:
+    """labelled: id, text, label (0 or 1; other labels and null count as no label), of which at most max_rows are learned
+    from. max_features: n-grams that speak for label 1; max_against: n-grams that speak against it, which are common
+    ones and so more to fit on."""
+    tune(labelled.sparkSession)
+    rows = materialise(bounded(labelled, max_rows), "sample")
+    try:
+        return _trained(dealt(rows), max_features, max_against, l2, steps, alpha)
+    finally:
+        discard(rows)
+
+
+def _trained(rows: DataFrame, max_features: int, max_against: int, l2: float, steps: int, alpha: float) -> Model:
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     total = sum(sizes.values())
     if not total:
@@ -210,7 +230,7 @@ def train(labelled: DataFrame, max_features: int = 2048, max_against: int = 256,
             yield from out(*_summed(held))
 
     # counted after the shuffle only, as a task's n-grams are distinct
-    counts = rows.mapInArrow(count, "gram bigint, neg bigint, pos bigint").repartition("gram").groupBy("gram").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
+    counts = rows.mapInArrow(released(count), "gram bigint, neg bigint, pos bigint").repartition("gram").groupBy("gram").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
     n0, n1 = float(sizes[0]), float(sizes[1])
     share = F.lit(n1 / total)
     df_ = F.col("neg") + F.col("pos")
@@ -258,7 +278,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             s = score_texts(texts_of(rb.column("text")), shared.value)
             yield batch({"doc_id": rb.column("id"), "score": s, "predicted": (s >= 0.5).astype(np.int32)}, schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, score double, predicted int")
+    return dealt(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))).mapInArrow(released(run), "doc_id bigint, score double, predicted int")
 
 
 def label_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> DataFrame:

@@ -9,8 +9,8 @@ Of records with equal payloads of at least ``MIN_REVISIT`` bytes, the one with t
 payload and the others are revisits that refer to it.
 
 Defined results: a null payload is empty; empty payloads are written and read like any other; rows that repeat
-the largest id of a payload all hold it; a null id is read back as null; an empty table writes no file and
-reads as no rows; extra columns are ignored.
+the largest id of a payload all hold it; a null id is read back as null; a very long payload is one member, read past its
+range's end; an empty table writes no file and reads as no rows; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, materialise, new_path, tune
+from .common import batch, delete, discard, materialise, new_path, released, tune
 
 MIN_REVISIT = 1000
 MAGIC = b"\x1f\x8b\x08"
@@ -120,7 +120,7 @@ def records_in(source: io.IOBase, start: int, end: int) -> Iterator[tuple[int, d
         parts = [held]
         have = len(held)
         while more and base + have < upto:
-            part = source.read(READ_BYTES)
+            part = source.read(max(READ_BYTES, upto - base - have))
             more = len(part) > 0
             parts.append(part)
             have += len(part)
@@ -168,7 +168,7 @@ def _member(bytes_upto) -> tuple[tuple[dict[str, str], bytes] | None, int]:
         if reader.eof:
             got = parse(bytes(out))
             return got, fed - len(reader.unused_data)
-        want += 1 << 18
+        want += max(1 << 18, want // 2)  # geometric, so that a long member is copied a few times only
 
 
 READ = pa.schema([("id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64()), ("payload", pa.binary())])
@@ -214,11 +214,18 @@ def read(spark: SparkSession, manifest: DataFrame, folder: str, with_payload: bo
                 yield batch(cols, schema)
 
     ddl = "id bigint, url string, record_type string, digest string, payload_bytes bigint, refers_to bigint" + ", payload binary" * with_payload
-    # a range is a task's work, whatever file it is of
-    return ranges.repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(run, ddl)
+    # a range is about a task's work, whatever file it is of, and there are as many tasks as ranges
+    n = manifest.agg(F.sum(F.ceil(F.col("bytes") / range_bytes))).first()[0] or 1
+    return ranges.repartition(int(n)).mapInArrow(released(run), ddl)
 
 
 def archive(pages: DataFrame) -> tuple[DataFrame, str]:
     """Write pages (page_id, url, html) into the shared folder: the manifest and the folder."""
     folder = new_path(pages.sparkSession, "warc")
     return write(revisits(pages), folder), folder
+
+
+def remove(manifest: DataFrame, folder: str) -> None:
+    """Delete an archive once nothing reads it any more."""
+    discard(manifest)
+    delete(manifest.sparkSession, folder)

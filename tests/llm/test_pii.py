@@ -47,6 +47,18 @@ def test_examples_and_long_texts():
     assert pii.redacted("to x@y.zz now") == "to <EMAIL> now"
 
 
+def test_added_kinds_in_any_spelling():
+    kinds = lambda text: [(k, text[a:b]) for k, a, b in pii.spans(text) if k not in pii.BASE]
+    for scheme in ("http://", "HTTPS://", "hTtP://", "Ftp://", "www.", "WwW."):
+        assert kinds(f"({scheme}a.example/x?y=1).") == [("url", f"{scheme}a.example/x?y=1")]
+    assert kinds("www. http:// ftp://") == []
+    for cue in ("account", "ACCOUNT no.", "aCCt #", "Customer ID:", "SSN", "passport number", "Routing"):
+        assert kinds(f"İ {cue} 12-345-678 ok") == [("account", "12-345-678")]
+    assert kinds("account 12345, ssn none, subaccount 12345678") == []
+    assert kinds("iban DE89 3704 0044 0532 0130 00.") == [("account", "DE89 3704 0044 0532 0130 00")]
+    assert kinds("http://a.example/ http://a.example/") == [("url", "http://a.example/")] * 2
+
+
 def test_rows(spark):
     rows = [(1, "x@y.zz", "k"), (1, "x@y.zz", "k"), (2, None, None), (None, "", "z")]
     df = spark.createDataFrame(rows, "doc_id long, text string, spans string")

@@ -115,3 +115,58 @@ def test_counts_do_not_depend_on_when_a_task_hands_them_on(spark, monkeypatch):
     monkeypatch.setattr(T, "BLOCK_CHARS", 2000)
     got = T.train(rows, steps=5)
     assert np.array_equal(got.features, want.features) and np.allclose(got.weight, want.weight)
+
+
+def windows(text):
+    """n-gram and place of every n-gram of a text, those that reach over its ends included."""
+    s = "\0" * T.PAD + text.lower() + "\0" * T.PAD
+    return [(s[p : p + k], p) for k in T.ORDERS for p in range(len(text) + T.PAD)]
+
+
+def name_of(gram):
+    codes = np.array([*map(ord, gram), *[0] * (T.PAD + 1)], np.uint32)
+    return int(list(T._grams(codes, 0, 1))[T.ORDERS.index(len(gram))][0])
+
+
+def test_features_and_scores_equal_dictionaries(spark):
+    docs, labels = corpus(150, 7)
+    truth = {i: t for i, _, t in labels}
+    rows = [(i, text, truth[i]) for i, text, _ in docs] + [(1, docs[1][1], truth[1])] + [(500, None, 1), (501, "", 0), (502, "x", None)]
+    model = T.train(spark.createDataFrame(rows, "id long, text string, label int"), max_features=40, max_against=10)
+    learnt = {(i, t, y) for i, t, y in rows if y is not None}
+    seen = {0: {}, 1: {}}
+    for _, text, y in learnt:
+        for g in {g for g, _ in windows(text or "")}:
+            seen[y][g] = seen[y].get(g, 0) + 1
+    n = {y: sum(1 for r in learnt if r[2] == y) for y in (0, 1)}
+    share = n[1] / (n[0] + n[1])
+
+    def z(g):
+        both = seen[0].get(g, 0) + seen[1].get(g, 0)
+        return (seen[1].get(g, 0) - both * share) / np.sqrt(both * share * (1 - share) + 1e-9)
+
+    grams = [g for g in {*seen[0], *seen[1]} if seen[0].get(g, 0) + seen[1].get(g, 0) >= 3]
+    names = {g: name_of(g) for g in grams}
+    for_it = sorted((g for g in grams if z(g) > 0), key=lambda g: (-round(z(g), 9), names[g]))[:40]
+    against = sorted((g for g in grams if z(g) < 0), key=lambda g: (round(z(g), 9), names[g]))[:10]
+    assert {names[g] for g in for_it + against} == set(model.features.tolist())
+    # the log-count ratio is a factor of each weight; what is fitted besides is the same for equal columns
+    ratio = {names[g]: np.log((seen[1].get(g, 0) + 1) / (n[1] + 2)) - np.log((seen[0].get(g, 0) + 1) / (n[0] + 2)) for g in for_it + against}
+    assert all(abs(ratio[f]) > 1e-12 or w == 0 for f, w in zip(model.features.tolist(), model.weight, strict=True))
+    weight = dict(zip(model.features.tolist(), model.weight, strict=True))
+    by_name = {names[g]: g for g in for_it + against}
+    for text in ["", "a", docs[3][1], docs[4][1], " ".join(t for _, t, _ in docs[:60]), "Moron TRASH the cat"]:
+        segments = max(1, (len(text) + T.SEGMENT // 2) // T.SEGMENT)
+        held = {(g, p * segments // (len(text) + T.PAD)) for g, p in windows(text)}
+        logit = model.bias + sum(weight[f] * sum((g, s) in held for s in range(segments)) / segments for f, g in by_name.items())
+        assert abs(T.score_texts([text], model)[0] - 1 / (1 + np.exp(-logit))) < 1e-9
+
+
+def test_training_is_bounded(spark):
+    docs, labels = corpus(120, 9)
+    truth = {i: t for i, _, t in labels}
+    rows = [(i, text, truth[i]) for i, text, _ in docs] + [(7, "the same", 0)] * 200
+    df = spark.createDataFrame(rows, "id long, text string, label int")
+    assert T.bounded(df, 50).count() == 50 and T.bounded(df, 1000).count() == 121
+    assert sorted(map(tuple, T.bounded(df, 50).collect())) == sorted(map(tuple, T.bounded(df.repartition(5), 50).collect()))
+    assert T.train(df, max_rows=50).constant is None
