@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import distance2, side
 from ..plans.lineage import cut
-from .pairs import GROWTH, _base, _size_class
+from .pairs import GROWTH, LEAST, _base, _size_class
 
 
 def nearest(df: DataFrame, px, py, k: int, fine: Callable[[Column, Column], Column] | None = None, broad: Callable[[Column, Column], Column] | None = None) -> DataFrame:
@@ -29,6 +30,20 @@ def nearest(df: DataFrame, px, py, k: int, fine: Callable[[Column, Column], Colu
     return rows.join(F.broadcast(best), "dist").select(*df.columns, "dist", "rank")
 
 
+def naive(df: DataFrame, px, py, k: int, fine: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """nearest() by ranking every row: the twin to check it against, for small tables."""
+    point = F.lit(px), F.lit(py)
+    rows = df.withColumn("dist", fine(*point) if fine else distance2(side(), *point)).where(F.col("dist").isNotNull())
+    return rows.withColumn("rank", F.dense_rank().over(Window.orderBy("dist"))).where(F.col("rank") <= k)
+
+
+def naive_many(df: DataFrame, points: DataFrame, k: int) -> DataFrame:
+    """nearest_many() by every row for every point, for small tables."""
+    every = points.select("pt_id", "px", "py").join(df.select("id", "x1", "x2", "y1", "y2")).withColumn("dist", distance2(side(), F.col("px"), F.col("py")))
+    ranked = every.withColumn("rank", F.dense_rank().over(Window.partitionBy("pt_id").orderBy("dist")))
+    return ranked.where(F.col("rank") <= k).select("pt_id", "id", "dist", "rank")
+
+
 def groups(found: DataFrame) -> DataFrame:
     """rank, dist, ids of the rows at that distance, n: nearest first."""
     return found.groupBy("rank", "dist").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.count("*").alias("n"))
@@ -61,10 +76,13 @@ def nearest_many(df: DataFrame, points: DataFrame, k: int) -> DataFrame:
     last = 0
     while GROWTH**last * min(cell) < 2 * max(reach):
         last += 1
+    # in a dense cluster windows start smaller, so that its points do not meet all of it before the k nearest are told
+    crowd = boxes.groupBy(F.floor(F.col("x1") / cell[0]), F.floor(F.col("y1") / cell[1])).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    start = max(LEAST, -math.ceil(math.log(max(1.0, crowd / (32 * k))) / math.log(GROWTH**2)))
     pending, done = points.select("pt_id", "px", "py"), []
-    for step in range(last + 1):
+    for step in range(start, last + 1):
         classes = list(range(step, max(step, top) + 1))
-        radius = float(min(cell)) * GROWTH**step
+        radius = float(min(cell)) * float(GROWTH) ** step
         home = boxes.withColumn("size", F.greatest("own", F.lit(step)))
         near = pending.withColumn("size", F.explode(F.array(*(F.lit(c) for c in classes))))
 

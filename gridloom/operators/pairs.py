@@ -1,7 +1,8 @@
 """Colliding pairs. Every variant returns ``id_a, id_b``; self joins give each unordered pair once with id_a < id_b.
 
-The default is a grid whose cells come in sizes that grow by four: a box lives at the first size it fits
-into, so it touches at most four cells there, however large it is, and meets larger boxes at their sizes.
+The default is a grid whose cells come in sizes that grow by four, from the median box's on, and in a few smaller ones: a
+box lives at the first size it fits into, so it touches at most four cells there, however large it is, and meets larger
+boxes at their sizes. A few giant or tiny boxes change nothing for the others.
 A pair is reported only in the cell that holds the larger of the two starts on each axis, so nothing needs to be
 made distinct, and the join is an equi-join that Spark shuffles, broadcasts or splits as it sees fit.
 """
@@ -15,18 +16,34 @@ from ..functions.geometry import Box, contains, intersects, side
 from ..plans.lineage import cut, spread
 
 GROWTH = 4
+#: Boxes smaller than the usual ones have cells of their own in steps of so many powers of GROWTH, down to LEAST.
+STEP, LEAST = 3, -9
 
 
 def _base(df: DataFrame) -> tuple[float, float]:
-    """Twice the mean width and height, and one more: the finest cells. One aggregate row."""
-    row = df.agg(F.avg(F.col("x2") - F.col("x1")).alias("w"), F.avg(F.col("y2") - F.col("y1")).alias("h")).first()
-    return 2 * float(row["w"] or 0) + 1, 2 * float(row["h"] or 0) + 1
+    """Twice the median width and height: cells for boxes of the usual size, whatever a few others are like. Where most
+    boxes have no extent, about their distance if the middle ones were spread evenly. One aggregate row."""
+    mid = lambda c: F.percentile_approx(c, [0.5, 0.05, 0.95])
+    row = df.agg(mid(F.col("x2") - F.col("x1")), mid(F.col("y2") - F.col("y1")), mid(F.col("x1")), mid(F.col("y1")), F.count("*")).first()
+    out = []
+    for sides, places in ((row[0], row[2]), (row[1], row[3])):
+        if not sides:
+            return 1.0, 1.0
+        even = float(places[2] - places[1]) / max(row[4], 1) ** 0.5
+        out.append(2 * float(sides[0]) or 2 * float(sides[2]) or even or 1.0)
+    return out[0], out[1]
+
+
+def _class_of(need: Column) -> Column:
+    """The first power of GROWTH that is need at least; below 0 in steps of STEP, so that few sizes are in use."""
+    power = F.ceil(F.log(need) / F.log(F.lit(float(GROWTH))) - F.lit(1e-9)).cast("int")
+    small = F.greatest(F.ceil(power / STEP) * STEP, F.lit(LEAST)).cast("int")
+    return F.when(need <= 0, LEAST).when(power >= 0, power).otherwise(small)
 
 
 def _size_class(cell: tuple[float, float]) -> Column:
-    """The first power of GROWTH at which the box fits into a cell."""
-    need = F.greatest((F.col("x2") - F.col("x1")) / F.lit(cell[0]), (F.col("y2") - F.col("y1")) / F.lit(cell[1]), F.lit(1.0))
-    return F.ceil(F.log(need) / F.log(F.lit(float(GROWTH))) - F.lit(1e-9)).cast("int")
+    """The size at which the box fits into a cell."""
+    return _class_of(F.greatest((F.col("x2") - F.col("x1")) / F.lit(cell[0]), (F.col("y2") - F.col("y1")) / F.lit(cell[1])))
 
 
 def _covered(lo: Column, hi: Column) -> Column:
@@ -57,22 +74,17 @@ def _in_reference_cell(a: Box, b: Box) -> Column:
     return (F.floor(F.greatest(a.x1, b.x1) / F.col("a.cw")) == F.col("a.cx")) & (F.floor(F.greatest(a.y1, b.y1) / F.col("a.ch")) == F.col("a.cy"))
 
 
-def _classes(boxes: DataFrame, cell: tuple[float, float], largest: tuple[float, float]) -> list[int]:
-    """The size classes in use: one if the largest box fits the finest cells, else as found; a logarithm of it at most."""
-    if largest[0] <= cell[0] and largest[1] <= cell[1]:
-        return [0]
+def _classes(boxes: DataFrame) -> list[int]:
+    """The size classes in use: a few numbers, at most a logarithm of the largest box."""
     return sorted(r["own"] for r in boxes.select("own").distinct().collect())
 
 
 def grid(df: DataFrame, cell: tuple[float, float] | None = None) -> DataFrame:
     """All colliding pairs."""
     boxes = _slim(df)
-    w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    mean_w, mean_h, *largest = (float(v or 0) for v in boxes.agg(F.avg(w), F.avg(h), F.max(w), F.max(h)).first())
-    cell = cell or (2 * mean_w + 1, 2 * mean_h + 1)
+    cell = cell or _base(boxes)
     boxes = boxes.withColumn("own", _size_class(cell))
-    classes = _classes(boxes, cell, tuple(largest))
-    cells = _cells(spread(boxes), cell, classes)
+    cells = _cells(spread(boxes), cell, _classes(boxes))
     a, b = cells.where("size = own").alias("a"), cells.alias("b")
     same = (F.col("a.size") == F.col("b.size")) & (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy"))
     once = (F.col("b.own") < F.col("b.size")) | (F.col("a.id") < F.col("b.id"))
@@ -111,17 +123,15 @@ def _overlaps(df: DataFrame) -> tuple[float, float]:
 
 def sweep(df: DataFrame, width: float | None = None, axis: int | None = None) -> DataFrame:
     """All colliding pairs by bins of one axis, by default the one on which fewer boxes overlap; the other axis is a
-    residual condition. A bin is as wide as a few mean boxes; boxes that span many bins live in coarser ones, as in grid()."""
+    residual condition. A bin is as wide as a few usual boxes; boxes that span many bins live in coarser ones, as in grid()."""
     boxes = _slim(df)
     if axis is None:
         on_x, on_y = _overlaps(boxes)
         axis = 0 if on_x <= on_y else 1
     lo, hi = ("x1", "x2") if axis == 0 else ("y1", "y2")
     cell = width or _base(boxes)[axis]
-    need = F.greatest((F.col(hi) - F.col(lo)) / F.lit(cell), F.lit(1.0))
-    boxes = boxes.withColumn("own", F.ceil(F.log(need) / F.log(F.lit(float(GROWTH))) - F.lit(1e-9)).cast("int"))
-    classes = sorted(r["own"] for r in boxes.select("own").distinct().collect())
-    out = _sized(spread(boxes), classes)
+    boxes = boxes.withColumn("own", _class_of((F.col(hi) - F.col(lo)) / F.lit(cell)))
+    out = _sized(spread(boxes), _classes(boxes))
     out = out.withColumn("cw", F.lit(cell) * F.pow(F.lit(float(GROWTH)), F.col("size")))
     bins = out.withColumn("bin", _covered(F.floor(F.col(lo) / F.col("cw")), F.floor(F.col(hi) / F.col("cw"))))
     a, b = bins.where("size = own").alias("a"), bins.alias("b")
@@ -140,14 +150,14 @@ def between(a: DataFrame, b: DataFrame, mode: str = "contained", cell: tuple[flo
     left, right = left.withColumn("own", _size_class(cell)), right.withColumn("own", _size_class(cell))
     if mode == "contained":
         # what is contained is no larger than what contains it: find it in the cell of its own corner at the container's size
-        classes = sorted(r["own"] for r in right.select("own").distinct().collect())
+        classes = _classes(right)
         corner = left.withColumns({"x2k": F.col("x2"), "y2k": F.col("y2"), "x2": F.col("x1"), "y2": F.col("y1")})
         small = _cells(spread(corner), cell, classes).withColumns({"x2": F.col("x2k"), "y2": F.col("y2k")}).alias("a")
         large = _cells(spread(right), cell, classes).where("size = own").alias("b")
         same = (F.col("a.size") == F.col("b.size")) & (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy"))
         hit = small.join(large, same & contains(side("b."), side("a.")))
         return hit.select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
-    classes = sorted({r["own"] for df in (left, right) for r in df.select("own").distinct().collect()})
+    classes = _classes(left.select("own").unionByName(right.select("own")))
     one, two = _cells(spread(left), cell, classes).alias("a"), _cells(spread(right), cell, classes).alias("b")
     same = (F.col("a.size") == F.col("b.size")) & (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy"))
     larger = F.col("a.size") == F.greatest("a.own", "b.own")

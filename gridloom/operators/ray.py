@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import ray_t, side
+from ..functions.geometry import Box, ray_t, side
 from ..plans.lineage import MAX_BROADCAST_ROWS, spread
+from .pairs import GROWTH, _base, _size_class
 
 Hit = Callable[[Column, Column, Column, Column], Column]
 
@@ -23,11 +24,72 @@ def cast(df: DataFrame, px, py, dx, dy, fine: Hit | None = None, broad: Hit | No
     return rows.join(F.broadcast(first), F.col("t") == F.col("first")).drop("first")
 
 
+def naive(df: DataFrame, px, py, dx, dy) -> DataFrame:
+    """cast() by ranking the hits of every row: its twin, for small tables."""
+    hits = df.withColumn("t", ray_t(side(), *(F.lit(v) for v in (px, py, dx, dy)))).where(F.col("t").isNotNull())
+    return hits.withColumn("place", F.rank().over(Window.orderBy("t"))).where(F.col("place") == 1).drop("place")
+
+
+def _first(hits: DataFrame) -> DataFrame:
+    """Of hits (ray_id, id, t) all at each ray's smallest t; each task keeps its own smallest before they are shuffled."""
+    ranked = hits.withColumn("place", F.rank().over(Window.partitionBy("ray_id").orderBy("t"))).where(F.col("place") <= 1)
+    return ranked.select("ray_id", "id", "t").distinct()
+
+
+def _walked(df: DataFrame, rays: DataFrame) -> DataFrame:
+    """ray_id, id, t of the boxes in the cells that each ray crosses. Cells are as large as the usual box, or as boxes spread
+    evenly would stand apart, so a ray crosses about as many as the root of the table's size."""
+    boxes = df.select("id", "x1", "x2", "y1", "y2")
+    x1, x2, y1, y2, n = boxes.agg(F.min("x1"), F.max("x2"), F.min("y1"), F.max("y2"), F.count("*")).first()
+    if not n:
+        return rays.select("ray_id", F.lit(0).cast("long").alias("id"), F.lit(0.0).alias("t")).limit(0)
+    base, even = _base(boxes), (float(x2 - x1) / n**0.5, float(y2 - y1) / n**0.5)
+    cell = max(base[0], even[0]), max(base[1], even[1])
+    boxes = boxes.withColumn("size", F.greatest(_size_class(cell), F.lit(0)))
+    classes = sorted(r["size"] for r in boxes.select("size").distinct().collect())  # a logarithm of the largest box
+    scale = F.pow(F.lit(float(GROWTH)), F.col("size"))
+    cw, ch = scale * F.lit(cell[0]), scale * F.lit(cell[1])
+    home = spread(boxes).withColumn("cx", F.explode(F.sequence(F.floor(F.col("x1") / cw), F.floor(F.col("x2") / cw))))
+    home = home.withColumn("cy", F.explode(F.sequence(F.floor(F.col("y1") / ch), F.floor(F.col("y2") / ch))))
+    # the ray's part in the world, a little more of it on either side for what rounding may take
+    px, py, dx, dy = (F.col(c).cast("double") for c in ("px", "py", "dx", "dy"))
+    world = Box(*(F.lit(float(v)) for v in (x1, x2, y1, y2)))
+    near = ray_t(world, px, py, dx, dy)
+    safe = lambda d: F.when(d == 0, F.lit(1.0)).otherwise(d)
+    leave = lambda p, d, lo, hi: F.when(d == 0, F.lit(float("inf"))).otherwise(F.greatest((F.lit(float(lo)) - p) / safe(d), (F.lit(float(hi)) - p) / safe(d)))
+    own = rays.select("ray_id", "px", "py", "dx", "dy", near.alias("t1"), F.least(leave(px, dx, x1, x2), leave(py, dy, y1, y2)).alias("t2")).where(F.col("t1").isNotNull())
+    own = own.withColumn("t2", F.when(F.col("t2") == float("inf"), F.col("t1")).otherwise(F.greatest("t1", "t2")))  # a ray without direction
+    own = own.withColumn("size", F.explode(F.array(*(F.lit(c) for c in classes))))
+    slack = lambda width, p, d: width * 1e-6 + (F.abs(p) + F.abs(d * F.col("t2"))) * 1e-12
+    ends = lambda p, d, a, b: (F.least(p + d * a, p + d * b), F.greatest(p + d * a, p + d * b))
+    lo, hi = ends(px, dx, F.col("t1"), F.col("t2"))
+    more = slack(cw, px, dx)
+    path = own.withColumn("cx", F.explode(F.sequence(F.floor((lo - more) / cw), F.floor((hi + more) / cw))))
+    left, right = F.col("cx") * cw - more, (F.col("cx") + 1) * cw + more
+    one, two = (left - px) / safe(dx), (right - px) / safe(dx)
+    a = F.when(dx == 0, F.col("t1")).otherwise(F.greatest(F.col("t1"), F.least(one, two)))
+    b = F.when(dx == 0, F.col("t2")).otherwise(F.least(F.col("t2"), F.greatest(one, two)))
+    path = path.withColumns({"a": a, "b": F.greatest(a, b)})
+    lo, hi = ends(py, dy, F.col("a"), F.col("b"))
+    more = slack(ch, py, dy)
+    path = path.withColumn("cy", F.explode(F.sequence(F.floor((lo - more) / ch), F.floor((hi + more) / ch))))
+    met = path.select("ray_id", "px", "py", "dx", "dy", "size", "cx", "cy").join(home, ["size", "cx", "cy"])
+    ray = tuple(F.col(c) for c in ("px", "py", "dx", "dy"))
+    return met.withColumn("t", ray_t(side(), *ray)).where(F.col("t").isNotNull()).select("ray_id", "id", "t")
+
+
 def cast_many(df: DataFrame, rays: DataFrame, fine: Hit | None = None, broad: Hit | None = None) -> DataFrame:
     """ray_id, id, t for each of rays (ray_id, px, py, dx, dy) that hits: all ties at its smallest t.
 
-    Rays are broadcast in lots of at most MAX_BROADCAST_ROWS; each task keeps a minimum for each ray before
-    anything is shuffled."""
+    Boxes are found through the cells that a ray crosses. With fine, a hit need not lie in the box, so rays
+    are compared with every row that broad lets through, broadcast in lots of at most MAX_BROADCAST_ROWS."""
+    if fine is None:
+        return _first(_walked(df, rays))
+    return naive_many(df, rays, fine, broad)
+
+
+def naive_many(df: DataFrame, rays: DataFrame, fine: Hit | None = None, broad: Hit | None = None) -> DataFrame:
+    """cast_many() by every row for every ray; without fine the twin to check it against, for small tables."""
     lots = max(1, -(-rays.count() // MAX_BROADCAST_ROWS))
     found, df = None, spread(df)
     for lot in range(lots):
@@ -36,8 +98,7 @@ def cast_many(df: DataFrame, rays: DataFrame, fine: Hit | None = None, broad: Hi
         hit = df.join(F.broadcast(own.select("ray_id", "px", "py", "dx", "dy")))
         hit = hit if broad is None else hit.where(broad(*ray).isNotNull())
         hit = hit.withColumn("t", fine(*ray) if fine else ray_t(side(), *ray)).where(F.col("t").isNotNull()).select("ray_id", "id", "t")
-        first = hit.groupBy("ray_id").agg(F.min("t").alias("first"))
-        part = hit.join(first.withColumnRenamed("ray_id", "r"), (F.col("ray_id") == F.col("r")) & (F.col("t") == F.col("first"))).select("ray_id", "id", "t")
+        part = _first(hit)
         found = part if found is None else found.unionByName(part)
     return found
 

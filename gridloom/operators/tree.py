@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import intersects, side
-from ..plans.lineage import MAX_BROADCAST_ROWS, cut
+from ..plans.lineage import MAX_BROADCAST_ROWS, cut, spread
 
 #: Elements a leaf should hold at least; with the rule below this fixes the height.
 PER_LEAF = 80
@@ -63,44 +63,39 @@ def _medians_by_window(active: DataFrame, start: str) -> DataFrame:
 def _medians_by_histogram(active: DataFrame, start: str) -> DataFrame:
     """Each round counts the starts of every node in BINS bins between bounds, and keeps the bin that holds the rank."""
     spark = active.sparkSession
-    open_ = {r["node_id"]: [r["lo"], r["hi"], r["n"] // 2] for r in active.groupBy("node_id").agg(F.min(start).alias("lo"), F.max(start).alias("hi"), F.count("*").alias("n")).collect()}
+    rows = active.groupBy("node_id").agg(F.min(start).alias("lo"), F.max(start).alias("hi"), F.expr("count(*) div 2").alias("rank")).collect()  # one for each node
     kind, found = dict(active.dtypes)[start], {}
-    while open_:
-        for node in [k for k, (lo, hi, _) in open_.items() if lo == hi]:
-            found[node] = open_.pop(node)[0]
+    while True:
+        found |= {r["node_id"]: r["lo"] for r in rows if r["lo"] == r["hi"]}
+        open_ = [tuple(r[c] for c in ("node_id", "lo", "hi", "rank")) for r in rows if r["lo"] != r["hi"]]
         if not open_:
             break
-        bounds = spark.createDataFrame([(k, lo, hi) for k, (lo, hi, _) in open_.items()], f"node_id bigint, lo {kind}, hi {kind}")
-        rows = active.join(F.broadcast(bounds), "node_id").where(F.col(start).between(F.col("lo"), F.col("hi")))
-        share = (F.col(start) - F.col("lo")).cast("double") / (F.col("hi") - F.col("lo")).cast("double")
-        bins = rows.withColumn("bin", F.least(F.floor(share * BINS), F.lit(BINS - 1))).groupBy("node_id", "bin")
-        counts = bins.agg(F.count("*").alias("n"), F.min(start).alias("lo"), F.max(start).alias("hi")).orderBy("node_id", "bin").collect()  # at most BINS rows a node
-        for r in counts:
-            node = open_[r["node_id"]]
-            if len(node) == 3:
-                if node[2] < r["n"]:
-                    node[:] = [r["lo"], r["hi"], node[2], True]
-                else:
-                    node[2] -= r["n"]
-        for node in open_.values():
-            node[:] = node[:3]
+        bounds = spark.createDataFrame(open_, f"node_id bigint, low {kind}, high {kind}, rank bigint")
+        inside = active.join(F.broadcast(bounds), "node_id").where(F.col(start).between(F.col("low"), F.col("high")))
+        share = (F.col(start) - F.col("low")).cast("double") / (F.col("high") - F.col("low")).cast("double")
+        bins = inside.withColumn("bin", F.least(F.floor(share * BINS), F.lit(BINS - 1))).groupBy("node_id", "bin")
+        counts = bins.agg(F.count("*").alias("n"), F.min(start).alias("lo"), F.max(start).alias("hi"), F.first("rank").alias("rank"))
+        # of a node's bins, at most BINS, only the one that holds the rank goes to the driver
+        before = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("node_id").orderBy("bin"))).withColumn("rank", F.col("rank") - F.col("upto") + F.col("n"))
+        rows = before.where((F.col("rank") >= 0) & (F.col("rank") < F.col("n"))).select("node_id", "lo", "hi", "rank").collect()
     return spark.createDataFrame(sorted(found.items()), f"node_id bigint, div {kind}")
 
 
-def build(df: DataFrame, levels: int | None = None) -> Tree:
-    """df: id, box and payload."""
+def build(df: DataFrame, levels: int | None = None, subtree_rows: int = SUBTREE_ROWS, window_rows: int = WINDOW_ROWS) -> Tree:
+    """df: id, box and payload. subtree_rows: nodes of at most so many elements are finished in one task; window_rows: of more,
+    the median is found by histograms."""
     n = df.count()
     levels = default_levels(n) if levels is None else levels
     elements = df.withColumns({"node_id": F.lit(1).cast("long"), "level": F.lit(0), "_open": F.lit(levels > 1)})
     largest = n  # at most; a median halves
     for level in range(levels - 1):
-        if largest <= SUBTREE_ROWS:
+        if largest <= subtree_rows:
             elements = _finish(elements, level, levels)
             break
         start, end = _axis(level)
         active = elements.where("_open")
         # only nodes of a level that may hold many elements, and those are few, are counted on the driver
-        by_histogram = largest > WINDOW_ROWS and 2**level <= 4096
+        by_histogram = largest > window_rows and 2**level <= 4096
         medians = cut(_medians_by_histogram(active, start) if by_histogram else _medians_by_window(active, start))
         largest = largest // 2 + 1
         side_table = medians if 2**level > MAX_BROADCAST_ROWS else F.broadcast(medians)  # at most 2**level rows
@@ -176,17 +171,14 @@ def _nodes(elements: DataFrame, levels: int) -> DataFrame:
 # -- order and introspection
 
 
-def preorder_key(levels: int) -> Column:
-    """A number that sorts nodes in pre-order: the path from the root, left before right, a node before its children."""
-    depth = F.floor(F.log2(F.col("node_id") + F.lit(0.5)))
-    low = F.col("node_id") - F.pow(F.lit(2.0), depth)
-    return (low * F.pow(F.lit(2.0), F.lit(levels) - depth) * 64 + depth).cast("long")
-
-
 def preorder(tree: Tree) -> DataFrame:
-    """Nodes with ``preorder``, their place from 0 on. There are at most as many as elements divided by a leaf's share."""
-    w = Window.orderBy(preorder_key(tree.levels))
-    return tree.nodes.withColumn("preorder", (F.row_number().over(w) - 1).cast("long"))
+    """Nodes with ``preorder``, their place from 0 on when a node stands before its children, left before right. As every node
+    exists, the place follows from the path: each step down is one node further, and a step to the right the whole
+    subtree on the left besides."""
+    depth = F.col("level")
+    path = F.col("node_id") - F.pow(F.lit(2.0), depth).cast("long")
+    place = path * F.pow(F.lit(2.0), F.lit(tree.levels) - depth).cast("long") + depth - F.bit_count(path)
+    return tree.nodes.withColumn("preorder", place.cast("long"))
 
 
 def in_node_order(tree: Tree) -> DataFrame:
@@ -238,7 +230,8 @@ def violations(tree: Tree) -> DataFrame:
     own = tree.elements.join(tree.nodes.select("node_id", "div", "cont_start", "cont_end"), "node_id")
     split = own.where(F.col("div").isNotNull() & ~((start <= F.col("div")) & (F.col("div") <= end)))
     cont = own.where(~((F.col("cont_start") <= start) & (end <= F.col("cont_end"))))
-    placed = under(tree).join(tree.nodes.select(F.col("node_id").alias("top"), F.col("div").alias("top_div"), F.col("level").alias("top_level")), "top")
+    few = F.broadcast if 2**tree.levels <= MAX_BROADCAST_ROWS else lambda df: df
+    placed = under(tree).join(few(tree.nodes.select(F.col("node_id").alias("top"), F.col("div").alias("top_div"), F.col("level").alias("top_level"))), "top")
     turn = F.floor(F.col("node_id") / F.pow(F.lit(2.0), F.col("level") - F.col("top_level") - 1)).cast("long") % 2
     on_x = F.col("top_level") % 2 == 0
     start, end = F.when(on_x, F.col("x1")).otherwise(F.col("y1")), F.when(on_x, F.col("x2")).otherwise(F.col("y2"))
@@ -254,18 +247,36 @@ def violations(tree: Tree) -> DataFrame:
 
 def under(tree: Tree) -> DataFrame:
     """Every element once for each node on its path: ``top`` is that node."""
-    steps = F.sequence(F.lit(0), F.col("level"))
-    up = F.transform(steps, lambda k: F.floor(F.col("node_id") / F.pow(F.lit(2.0), k)).cast("long"))
-    return tree.elements.withColumn("top", F.explode(up))
+    return _paths(tree.elements, 0, tree.levels)
 
 
 def pairs(tree: Tree) -> DataFrame:
     """All colliding pairs: a box can only touch boxes of its own node and of nodes above or below it."""
-    a = tree.elements.select("id", "x1", "x2", "y1", "y2", "node_id").alias("a")
-    b = under(tree).select("id", "x1", "x2", "y1", "y2", "node_id", "top").alias("b")
-    once = (F.col("a.node_id") != F.col("b.node_id")) | (F.col("a.id") < F.col("b.id"))
-    hit = a.join(b, (F.col("a.node_id") == F.col("b.top")) & once & intersects(side("a."), side("b.")))
-    return hit.select(F.least("a.id", "b.id").alias("id_a"), F.greatest("a.id", "b.id").alias("id_b"))
+    slim = tree.elements.select("id", "x1", "x2", "y1", "y2", "node_id", "level")
+    # elements of the upper levels are few, and all others lie beneath them: they are broadcast, as many levels as
+    # a checked number of rows allows, so that only subtrees further down are dealt by their tops
+    upper, rows = 0, 0
+    for r in sorted(per_level(tree).collect(), key=lambda r: r["level"]):
+        rows += r["elements"]
+        if rows > MAX_BROADCAST_ROWS or r["level"] == tree.levels - 1:
+            break
+        upper = r["level"] + 1
+
+    def met(a: DataFrame, b: DataFrame) -> DataFrame:
+        a, b = a.alias("a"), b.alias("b")
+        once = (F.col("a.node_id") != F.col("b.node_id")) | (F.col("a.id") < F.col("b.id"))
+        hit = a.join(b, (F.col("a.node_id") == F.col("b.top")) & once & intersects(side("a."), side("b.")))
+        return hit.select(F.least("a.id", "b.id").alias("id_a"), F.greatest("a.id", "b.id").alias("id_b"))
+
+    below = met(slim.where(F.col("level") >= upper), _paths(slim, upper, tree.levels))
+    return met(F.broadcast(slim.where(F.col("level") < upper)), _paths(spread(slim), 0, upper)).unionByName(below) if upper else below
+
+
+def _paths(elements: DataFrame, first: int, end: int) -> DataFrame:
+    """Every element once for each node on its path on the levels from first to before end: ``top`` is that node."""
+    last = F.least(F.col("level"), F.lit(end - 1))
+    up = F.transform(F.sequence(F.lit(first), last), lambda k: F.floor(F.col("node_id") / F.pow(F.lit(2.0), F.col("level") - k)).cast("long"))
+    return elements.where(F.col("level") >= first).withColumn("top", F.explode(up))
 
 
 def is_sorted(df: DataFrame, order: str, by: list[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import boxes as B
@@ -12,6 +12,7 @@ from ..functions import geometry as G
 from ..operators import cache, knn, nbody, pairs, ray, rect, tree, verify
 from ..sources import sinks, tables, workloads
 from . import sql as S
+from .lineage import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -73,6 +74,12 @@ def a03_save_and_restore(spark, d):
     return back.elements.groupBy("node_id").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.max("id").alias("most"))
 
 
+@query(_box_sql("select id, node_id, level from el", *S.tree()))
+def a04_restore(spark, d):
+    df = _orders(spark, d)
+    return sinks.round_trip(spark, tree.build(df), df).elements.select("id", "node_id", "level")
+
+
 @query(_box_sql("select node_id, div, n from nodes", *S.tree()))
 def a05_raw_nodes(spark, d):
     df = _orders(spark, d)
@@ -88,15 +95,27 @@ def a06_spiral(spark, d):
     return workloads.abspiral(spark, 5000).select("id", m("px"), m("py"), m("x1"))
 
 
+@query(_box_sql("select 'all pairs' variant, count(*) * (count(*) - 1) // 2 comparisons from boxes union all select 'tree', cast(sum(own * (own - 1) // 2 + own * (under.n - own)) as bigint) from (select node_id, count(*) own from el group by 1) join under using (node_id)", *S.tree()))
+def a07_counted_comparisons(spark, d):
+    df = _orders(spark, d)
+    n = df.count()
+    return spark.createDataFrame([("all pairs", n * (n - 1) // 2), ("tree", verify.tree_candidates(tree.build(df)))], "variant string, comparisons long")
+
+
 @query("select id, px - h x1, px + h x2, py - h y1, py + h y2 from (select i id, cast(trunc(400.0::double + sqrt(i::double) * 2.0::double * cos(i * 2.399963229728653::double)) as bigint) px, cast(trunc(400.0::double + sqrt(i::double) * 2.0::double * sin(i * 2.399963229728653::double)) as bigint) py, case when i > 1000 and i < 4000 then 100 else 8 end h from range(10000) t(i))")
 def a08_test_spiral(spark, d):
     half = F.when((F.col("id") > 1000) & (F.col("id") < 4000), 100).otherwise(8)
     return workloads.spiral_boxes(spark, 10_000, 2.0, half)
 
 
-@query()
+@query("select 500::bigint n, 500::bigint ids, true centres_in_world, true radii_in_bounds, true spread_out")
 def a09_random_boxes(spark, d):
-    return workloads.random_boxes(spark, 500)
+    b = workloads.random_boxes(spark, 500)
+    r = (F.col("x2") - F.col("x1")) / 2
+    fits = lambda c, lo, hi: F.min(F.col(c).between(lo, hi))
+    radii = F.min((r >= 1 - 1e-9) & (r <= 8 + 1e-9) & (F.abs(F.col("y2") - F.col("y1") - 2 * r) < 1e-9))
+    wide = (F.max("px") - F.min("px") > 700) & (F.max("py") - F.min("py") > 500) & (F.stddev("px") > 150)
+    return b.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), (fits("px", 0, 800) & fits("py", 0, 600)).alias("centres_in_world"), radii.alias("radii_in_bounds"), wide.alias("spread_out"))
 
 
 @query("select i id, i % 40 * 3 px, i // 40 * 2 py from range(1000) t(i)")
@@ -205,6 +224,23 @@ def c04_finish_nodes(spark, d):
     return tree.build(_orders(spark, d), 3).nodes.select("node_id", "cont_start", "cont_end", "n", "min_elem")
 
 
+@query(_box_sql("select * from nodes", *S.tree()))
+def c05_levels_by_window(spark, d):
+    return tree.build(_orders(spark, d), subtree_rows=1000).nodes
+
+
+@query(_box_sql("select id, x1, x2, y1, y2, node_id, level from el", *S.tree()))
+def c06_split_and_combine(spark, d):
+    return tree.build(_orders(spark, d), subtree_rows=3000, window_rows=5000).elements.select("id", "x1", "x2", "y1", "y2", "node_id", "level")
+
+
+@query(_box_sql("select node_id, id, cast(row_number() over (partition by node_id order by case when level % 2 = 0 then y1 else x1 end, id) - 1 as integer) place from el", *S.tree()))
+def c07_sorted_nodes(spark, d):
+    got = tree.build(_orders(spark, d)).elements
+    start = F.when(F.col("level") % 2 == 0, F.col("y1")).otherwise(F.col("x1"))
+    return got.select("node_id", "id", (F.row_number().over(Window.partitionBy("node_id").orderBy(start, "id")) - 1).alias("place"))
+
+
 @query("select n, cast(case when n <= 80 then 1 else cast(floor(log2(n // 80)) as bigint) // 2 * 2 + 1 end as integer) levels from (select unnest([0, 1, 80, 81, 319, 320, 1279, 1280, 10000, 15000, 20000, 60000, 150000, 600000]::bigint[]) n)")
 def c09_default_height(spark, d):
     sizes = [0, 1, 80, 81, 319, 320, 1279, 1280, 10_000, 15_000, 20_000, 60_000, 150_000, 600_000]
@@ -221,6 +257,16 @@ def c11_tree_of_events(spark, d):
     return tree.build(B.validate(tables.event_boxes(spark, d))).nodes.select("node_id", "div", "n")
 
 
+@query(_box_sql("select * from nodes", *S.tree()))
+def c11_levels_by_histogram(spark, d):
+    return tree.build(_orders(spark, d), subtree_rows=1000, window_rows=1000).nodes
+
+
+@query(_box_sql("select level, sum(n)::bigint elements, max(n) most, count(div) dividers from nodes group by 1", *S.tree()))
+def c12_load_of_a_build(spark, d):
+    return tree.build(_orders(spark, d)).nodes.groupBy("level").agg(F.sum("n").alias("elements"), F.max("n").alias("most"), F.count("div").alias("dividers"))
+
+
 @query(_box_sql("select id, x1, cast(row_number() over (order by x1, id) - 1 as bigint) place from boxes"))
 def c13_sweep_list(spark, d):
     return pairs.sweep_list(_orders(spark, d)).select("id", "x1", "place")
@@ -231,6 +277,11 @@ def d01_preorder(spark, d):
     return tree.preorder(tree.build(_orders(spark, d))).select("node_id", "level", "n", "preorder")
 
 
+@query(_box_sql("select id, level depth from el", *S.tree()))
+def d02_depth_of_elements(spark, d):
+    return tree.build(_orders(spark, d)).elements.select("id", F.col("level").alias("depth"))
+
+
 @query(_box_sql("select max(level) + 1 num_levels, count(*) num_nodes, cast(sum(n) as bigint) num_elements from nodes", *S.tree()))
 def d03_counts(spark, d):
     return tree.counts(tree.build(_orders(spark, d)))
@@ -274,8 +325,6 @@ def d09_invariants(spark, d):
 
 @query("select true is_sorted")
 def d10_is_sorted(spark, d):
-    from pyspark.sql import Window
-
     got = tree.in_node_order(tree.build(_orders(spark, d)))
     start = F.when(F.col("level") % 2 == 0, F.col("y1")).otherwise(F.col("x1"))
     rows = got.select("node_id", start.alias("start")).withColumn("place", F.row_number().over(Window.partitionBy("node_id").orderBy("start")))
@@ -369,6 +418,11 @@ def f04_pairs_tree(spark, d):
     return tree.pairs(tree.build(_orders(spark, d)))
 
 
+@query(_PAIR_SQL)
+def f05_pairs_of_many_partitions(spark, d):
+    return pairs.grid(_orders(spark, d).repartition(23, "id"))
+
+
 @query(_box_sql("select count(*) n, cast(sum(id_b - id_a) as bigint) gap, max(id_b) most from pairs", S.PAIRS))
 def f06_accumulate(spark, d):
     return pairs.accumulate(pairs.grid(_orders(spark, d)), F.count("*").alias("n"), F.sum(F.col("id_b") - F.col("id_a")).alias("gap"), F.max("id_b").alias("most"))
@@ -392,6 +446,13 @@ def f09_every_pair(spark, d):
     return pairs.every_pair(tables.read(spark, d, "nation").select(F.col("n_nationkey").alias("id")))
 
 
+@query(_box_sql("select id_a, id_b from pairs join el a on a.id = id_a join el b on b.id = id_b where a.node_id <> b.node_id", S.PAIRS, *S.tree()))
+def f13_anchors_with_those_beneath(spark, d):
+    t = tree.build(_orders(spark, d))
+    at = lambda c: t.elements.select(F.col("id").alias(f"id_{c}"), F.col("node_id").alias(f"node_{c}"))
+    return tree.pairs(t).join(at("a"), "id_a").join(at("b"), "id_b").where("node_a <> node_b").select("id_a", "id_b")
+
+
 @query(_box_sql("select el.level, count(*) n from pairs join el on el.id = id_a group by 1", S.PAIRS, *S.tree()))
 def f14_pairs_by_level(spark, d):
     t = tree.build(_orders(spark, d))
@@ -451,6 +512,11 @@ def g03_not_inside(spark, d):
     return rect.not_inside(_orders(spark, d), RECT)
 
 
+@query(_box_sql(f"select a.id, b.rect_id from boxes a join rects b on {S.IN}", S.RECTS))
+def g05_inside_naive(spark, d):
+    return rect.naive_many(_orders(spark, d), tables.part_rects(spark, d))
+
+
 @query(_box_sql(f"select a.id, b.rect_id from boxes a join rects b on {S.IN}", S.RECTS))
 def g06_inside_many(spark, d):
     return rect.inside_many(_orders(spark, d), tables.part_rects(spark, d))
@@ -513,6 +579,17 @@ def h06_sizes(spark, d):
     return knn.sizes(knn.nearest(_orders(spark, d), *POINT, K))
 
 
+@query(_knn_sql('select "rank" - 1 place, id, dist from ranked where "rank" in (1, 2)'))
+def h04_first_two_groups(spark, d):
+    got = knn.nearest(_orders(spark, d), *POINT, K).where("rank <= 2")
+    return got.select((F.col("rank") - 1).cast("long").alias("place"), "id", "dist")
+
+
+@query(_knn_sql('select id, dist, cast("rank" as integer) "rank" from ranked'))
+def h07_nearest_naive(spark, d):
+    return knn.naive(_orders(spark, d), *POINT, K).select("id", "dist", "rank")
+
+
 @query(_box_sql(f"select pt_id, id, dist, cast(\"rank\" as integer) \"rank\" from (select *, dense_rank() over (partition by pt_id order by dist) \"rank\" from (select pt_id, id, {S.distance2('px', 'py')} dist from points, boxes)) where \"rank\" <= 3", S.POINTS))
 def h08_nearest_many(spark, d):
     return knn.nearest_many(_orders(spark, d), tables.customer_points(spark, d), 3)
@@ -529,11 +606,34 @@ def i01_cast(spark, d):
     return ray.cast(_orders(spark, d), *map(int, _RAY)).select("id", "t")
 
 
+_GROWN = "grown as (select id, x1 - 3 x1, x2 + 3 x2, y1 - 500 y1, y2 + 500 y2 from boxes)"
+
+
+@query(_box_sql("select id, t from ts where t = (select min(t) from ts)", _GROWN, f"ts as (select id, {S.ray_t(*_RAY)} t from grown)"))
+def i02_cast_grown_boxes(spark, d):
+    def fine(*r):
+        return G.ray_t(G.Box(F.col("x1") - 3, F.col("x2") + 3, F.col("y1") - 500, F.col("y2") + 500), *r)
+
+    def broad(*r):
+        return G.ray_t(G.Box(F.col("x1") - 9, F.col("x2") + 9, F.col("y1") - 900, F.col("y2") + 900), *r)
+
+    return ray.cast(_orders(spark, d), *map(int, _RAY), fine, broad).select("id", "t")
+
+
 @query(_box_sql("select id, t from ts where t is not null", f"ts as (select id, {S.ray_t(*_RAY)} t from boxes)"))
 def i03_box_t(spark, d):
     return _orders(spark, d).select("id", G.ray_t(G.side(), *(F.lit(int(v)) for v in _RAY)).alias("t")).where("t is not null")
 
 
+_FLAT = "flat as (select id, x1 // 500 * 500 x1, x1 // 500 * 500 + 20 x2, y1, y2 from boxes)"
+
+
+@query(_box_sql("select id, t from ts where t = (select min(t) from ts)", _FLAT, f"ts as (select id, {S.ray_t(*_RAY)} t from flat)"))
+def i04_cast_with_ties(spark, d):
+    start = F.floor(F.col("x1") / 500) * 500
+    return ray.cast(_orders(spark, d).withColumns({"x1": start, "x2": start + 20}), *map(int, _RAY)).select("id", "t")
+
+
 _CIRCLE_SQL = """ts as (select id, case when c <= 0 then 0.0::double when a > 0 and b * b - a * c >= 0 and (-b - sqrt(greatest(b * b - a * c, 0))) / a >= 0 then (-b - sqrt(greatest(b * b - a * c, 0))) / a end t from (
   select id, 1.0::double a, 9000.0::double - cx b, (9000 - cx) * (9000 - cx) + (200000 - cy) * (200000 - cy) - 400.0 * 400.0 c from (select id, (x1 + x2) / 2.0::double cx, (y1 + y2) / 2.0::double cy from boxes)))"""
 
@@ -550,6 +650,11 @@ def i05_cast_circles(spark, d):
     return ray.cast(_orders(spark, d), *map(int, _RAY), fine, broad).select("id", F.round(F.col("t") * 1000).cast("long").alias("milli"))
 
 
+@query(_box_sql("select id, t from ts where t = (select min(t) from ts)", f"ts as (select id, {S.ray_t(*_RAY)} t from boxes)"))
+def i06_cast_naive(spark, d):
+    return ray.naive(_orders(spark, d), *map(int, _RAY)).select("id", "t")
+
+
 _MANY_RAYS = f"ts as (select ray_id, id, t from (select ray_id, id, {S.ray_t('px', 'py', 'dx', 'dy')} t from rays, boxes) where t is not null)"
 
 
@@ -590,6 +695,27 @@ def j01_forces_by_tree(spark, d):
     return nbody.approximate(tree.build(tables.supplier_bodies(spark, d), 5), 200.0)
 
 
+@query("select count(*) n, count(*) near_exact from supplier")
+def j01_error_of_forces_by_tree(spark, d):
+    """Bodies, and those whose force is off by a quarter at most of what all pulls on the body add up to in size; measured, the
+    largest such error is 0.18 on the table of sf0.01."""
+    bodies = tables.supplier_bodies(spark, d)
+    got, want = nbody.approximate(tree.build(bodies, 5), 400.0), cut(nbody.naive(bodies))
+    gross = nbody.naive(bodies, lambda dx, dy, mass: (mass / F.greatest(F.sqrt((dx * dx + dy * dy).cast("double")), F.lit(1.0)), F.lit(0.0)))
+    both = got.join(want.select("id", F.col("fx").alias("wx"), F.col("fy").alias("wy")), "id").join(gross.select("id", F.col("fx").alias("gross")), "id")
+    dx, dy = F.col("fx") - F.col("wx"), F.col("fy") - F.col("wy")
+    return both.agg(F.count("*").alias("n"), F.count_if(F.sqrt(dx * dx + dy * dy) <= F.col("gross") / 4).alias("near_exact"))
+
+
+_LAW = "cast(round(coalesce(sum(6.5::double * b.mass * (b.{c} - a.{c}) / (greatest(d2, 100.0::double) * sqrt(greatest(d2, 100.0::double)))), 0) * 1000000) as bigint) {n}"
+_D2 = "((b.px - a.px) * (b.px - a.px) + (b.py - a.py) * (b.py - a.py))::double"
+
+
+@query(S.ctes(S.BODIES) + f"select a.id, {_LAW.format(c='px', n='fx').replace('d2', _D2)}, {_LAW.format(c='py', n='fy').replace('d2', _D2)} from bodies a left join bodies b on a.id <> b.id group by 1")
+def j08_forces_of_another_law(spark, d):
+    return _micro(nbody.approximate(tree.build(tables.supplier_bodies(spark, d), 3), float("inf"), nbody.gravity(6.5, 10.0)))
+
+
 _MASSES = S.ctes(S.BODIES, "boxes as (select id, px x1, px x2, py y1, py y2 from bodies)", *S.tree(3))
 
 
@@ -628,28 +754,90 @@ def k02_cached_elements(spark, d):
 
 @query(_box_sql("select id, 100 * (count(e.id) + 1) total from boxes b left join ends e using (id) group by 1", S.PAIRS, S.ENDS))
 def k03_replay(spark, d):
+    """A hundred turns over cached pairs and elements, each of which adds one to both ends of a pair and to an element."""
+    with cache.Session(_orders(spark, d)) as session:
+        of_pairs = pairs.ends(session.replay(session.colliding_pairs(), 100)).select("id")
+        of_elements = session.replay(session.elements(), 100).select("id")
+        return of_pairs.unionByName(of_elements).groupBy("id").agg(F.count("*").alias("total"))
+
+
+@query(_box_sql("select 'its own' session, count(*) elements, false refused from boxes union all select 'another', count(*), true from boxes"))
+def k04_session(spark, d):
     df = _orders(spark, d)
-    with_ends = pairs.degree(df, cache.Session(df).colliding_pairs().select("id_a", "id_b"))
-    return with_ends.select("id", (100 * (F.col("degree") + 1)).alias("total"))
+    with cache.Session(df) as one, cache.Session(df) as two:
+        kept = one.elements()
+        rows = []
+        for name, session in (("its own", one), ("another", two)):
+            try:
+                session.handle(kept)
+                rows.append((name, False))
+            except ValueError:
+                rows.append((name, True))
+    asked = spark.createDataFrame(rows, "session string, refused boolean")
+    return asked.join(F.broadcast(kept.agg(F.count("*").alias("elements")))).select("session", "elements", "refused")  # one row
 
 
 # -- L: verification
 
 
-@query("select 'grid' variant, 0::bigint n union all select 'sweep', 0 union all select 'tree', 0")
+def _agree_sql(select: str, *variants: str) -> str:
+    return f"select variant, n, 0::bigint differences from (select unnest({list(variants)}) variant), (select count(*) n from ({select}))"
+
+
+@query(_box_sql(_agree_sql("select * from pairs", "grid", "sweep", "tree"), S.PAIRS))
 def l02_variants_agree(spark, d):
     df = _orders(spark, d)
-    want = pairs.grid(df)
-    out = None
-    for name, got in (("grid", want), ("sweep", pairs.sweep(df)), ("tree", tree.pairs(tree.build(df)))):
-        row = verify.differences(want, got).agg(F.count("*").alias("n")).select(F.lit(name).alias("variant"), "n")
-        out = row if out is None else out.unionByName(row)
-    return out
+    return verify.counted(pairs.naive(df), grid=pairs.grid(df), sweep=pairs.sweep(df), tree=tree.pairs(tree.build(df)))
 
 
-@query()
+@query(_knn_sql(_agree_sql("select * from ranked", "nearest", "nearest_many")))
+def l03_nearest_agrees(spark, d):
+    df, cols = _orders(spark, d), ("id", "dist", "rank")
+    point = spark.range(1).select(F.col("id").alias("pt_id"), F.lit(POINT[0]).cast("long").alias("px"), F.lit(POINT[1]).cast("long").alias("py"))
+    return verify.counted(knn.naive(df, *POINT, K).select(*cols), nearest=knn.nearest(df, *POINT, K).select(*cols), nearest_many=knn.nearest_many(df, point, K).select(*cols))
+
+
+@query(_box_sql(_agree_sql("select * from ts where t = (select min(u.t) from ts u where u.ray_id = ts.ray_id)", "cells"), S.RAYS, _MANY_RAYS))
+def l04_rays_agree(spark, d):
+    df, rays = _orders(spark, d), tables.supplier_rays(spark, d)
+    return verify.counted(ray.naive_many(df, rays), cells=ray.cast_many(df, rays))
+
+
+_CHECKS = (("inside", S.inside(RECT)), ("intersecting", S.touches(RECT)), ("not inside", f"not ({S.inside(RECT)})"))
+
+
+@query(_box_sql(" union all ".join(f"select '{name}' variant, count(*) n, 0::bigint differences from boxes where {where}" for name, where in _CHECKS)))
+def l05_rects_agree(spark, d):
+    df = _orders(spark, d)
+    one = spark.range(1).select(F.col("id").alias("rect_id"), *(F.lit(v).cast("long").alias(c) for c, v in zip(("x1", "x2", "y1", "y2"), RECT, strict=True)))
+    inside, touching = (rect.naive_many(df, one, mode).select("id") for mode in ("contained", "intersects"))
+    out = verify.counted(inside, **{"inside": rect.inside(df, RECT).select("id")})
+    out = out.unionByName(verify.counted(touching, **{"intersecting": rect.intersecting(df, RECT).select("id")}))
+    return out.unionByName(verify.counted(df.select("id").exceptAll(inside), **{"not inside": rect.not_inside(df, RECT).select("id")}))
+
+
+_CELL = (28.0, 1000.0)
+_CELLS = (
+    "s as (select *, greatest((x2 - x1) / 28.0::double, (y2 - y1) / 1000.0::double) need from boxes)",
+    "p as (select *, cast(ceil(ln(need) / ln(4.0::double) - 1e-9) as integer) p from s where need > 0)",
+    "o as (select id, x1, x2, y1, y2, case when p >= 0 then p else greatest(cast(ceil(p / 3.0) as integer) * 3, -9) end own from p union all select id, x1, x2, y1, y2, -9 from s where need <= 0)",
+    "z as (select o.*, size from o, (select distinct own size from o) where size >= own)",
+    "g as (select *, 28.0::double * pow(4.0::double, size) cw, 1000.0::double * pow(4.0::double, size) ch from z)",
+    "c as (select own, size, cx, unnest(range(floor(y1 / ch)::bigint, floor(y2 / ch)::bigint + 1)) cy from (select *, unnest(range(floor(x1 / cw)::bigint, floor(x2 / cw)::bigint + 1)) cx from g))",
+    "k as (select count(*) filter (own = size) home, count(*) n from c group by size, cx, cy)",
+)
+
+
+@query(_box_sql("select cast(sum(home * (home - 1) // 2 + home * (n - home)) as bigint) candidates from k", *_CELLS))
 def l06_candidates(spark, d):
-    return spark.createDataFrame([(verify.candidates(_orders(spark, d)),)], "candidates long")
+    return spark.createDataFrame([(verify.candidates(_orders(spark, d), _CELL),)], "candidates long")
+
+
+@query(_box_sql("select count(*) n from pairs", S.PAIRS))
+def l07_timed_pairs(spark, d):
+    n, seconds = verify.timed(lambda: pairs.grid(_orders(spark, d)))
+    assert seconds > 0
+    return spark.createDataFrame([(n,)], "n long")
 
 
 # -- M: composites

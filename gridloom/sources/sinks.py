@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import tree
+from ..plans.lineage import shared_dir
 
 
 def folder(spark: SparkSession, kind: str) -> str:
-    """A new path in the shared folder the cluster names in spark.checkpoint.dir; a temporary one where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="gridloom-")
-    return f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
 def round_trip(spark: SparkSession, built: tree.Tree, df: DataFrame) -> tree.Tree:

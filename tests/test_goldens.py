@@ -46,10 +46,12 @@ def test_replay(spark):
     df = table(spark, [(0, 0, 10, 0, 10), (1, 0, 10, 5, 20), (2, 0, 10, 12, 15)])
     with cache.Session(df) as session:
         kept, elems = session.colliding_pairs(), session.elements()
-        degree = {r["id"]: r["degree"] for r in pairs.degree(df, session.handle(kept).select("id_a", "id_b")).collect()}
-        assert [r + 100 * (degree[r] + 1) for r in ids(session.handle(elems))] == [200, 301, 202]
+        seen = pairs.ends(session.replay(kept, 100)).select("id").unionByName(session.replay(elems, 100).select("id"))
+        assert [r["id"] + r["count"] for r in seen.groupBy("id").count().orderBy("id").collect()] == [200, 301, 202]
         with pytest.raises(ValueError):
             cache.Session(df).handle(kept)
+    with pytest.raises(ValueError):
+        session.handle(kept)
 
 
 def test_nearest(spark):
@@ -112,6 +114,52 @@ def test_pairs_equal_the_twin(spark, seed):
     assert verify.check_pairs(df) == {"grid": True, "sweep": True} and verify.candidates(df) >= len(want)
 
 
+@pytest.mark.parametrize("side", [10**9, 10**15])
+def test_a_giant_box_does_not_coarsen_the_grid(spark, side):
+    n = 20_000
+    df = spark.range(n).selectExpr("id", "id % 200 * 3 x1", "id % 200 * 3 + 1 x2", "id div 200 * 3 y1", "id div 200 * 3 + 1 y2")
+    df = df.unionByName(table(spark, [(n, -5, side, -5, side)]))
+    assert verify.candidates(df) == n
+    for got in (pairs.grid(df), pairs.sweep(df), pairs.between(df.where(f"id = {n}"), df.where(f"id < {n}"), "intersects")):
+        assert got.count() == n
+    assert rect.inside_many(df.where(f"id < {n}"), df.where(f"id = {n}").withColumnRenamed("id", "rect_id")).count() == n
+    point = spark.createDataFrame([(1, 301, 301), (2, -1, -1)], "pt_id long, px long, py long")
+    assert verify.same(knn.naive_many(df, point, 3), knn.nearest_many(df, point, 3))
+
+
+def test_tiny_boxes_among_large_ones(spark):
+    """A cluster of tiny boxes, points among them, within the place of one usual box; and boxes of any scale."""
+    rng = random.Random(4)
+    rows = [(i, x := rng.uniform(0, 1e6), x + rng.uniform(50, 150), y := rng.uniform(0, 1e6), y + rng.uniform(50, 150)) for i in range(600)]
+    rows += [(i, x := rng.uniform(5000, 5060), x + rng.choice([0.0, 0.01, 0.2]), y := rng.uniform(5000, 5060), y + rng.choice([0.0, 0.01, 0.2])) for i in range(600, 1000)]
+    for scale in (1.0, 1e-7):
+        df = spark.createDataFrame([(i, *(v * scale for v in r)) for i, *r in rows], "id long, x1 double, x2 double, y1 double, y2 double")
+        assert verify.check_pairs(df) == {"grid": True, "sweep": True}
+        assert verify.candidates(df) < 20_000
+    points = spark.createDataFrame([(k, 5000.0 + k, 5030.0) for k in range(20)] + [(50, 0.0, -1e5), (51, 5e5, 5e5)], "pt_id long, px double, py double")
+    df = spark.createDataFrame(rows, "id long, x1 double, x2 double, y1 double, y2 double")
+    assert verify.same(knn.naive_many(df, points, 4), knn.nearest_many(df, points, 4))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_checks_against_the_twins(spark, seed):
+    df = table(spark, random_boxes(seed, 300))
+    assert all(verify.check_nearest(df, 50, 60, 5).values())
+    assert all(verify.check_rect(df, (20, 90, 10, 80)).values())
+    for r in ((-10, 40, 1, 0), (50, 50, 0, -1), (50, -9, 1, 3), (50, 50, 0, 0), (-5, -5, -1, -1), (200, 3, -7, 1)):
+        assert all(verify.check_ray(df, *r).values()), r
+
+
+def test_rays_of_every_direction(spark):
+    rng = random.Random(5)
+    boxes = random_boxes(9, 400, extent=2000) + [(1000, 0, 2000, 700, 701), (1001, 900, 900, 0, 2000), (1002, 5, 5, 5, 5)]
+    df = table(spark, boxes)
+    rays = [(k, rng.randint(-500, 2500), rng.randint(-500, 2500), rng.randint(-5, 5), rng.randint(-5, 5)) for k in range(300)]
+    rays = spark.createDataFrame(rays, "ray_id long, px long, py long, dx long, dy long")
+    assert verify.same(ray.naive_many(df, rays), ray.cast_many(df, rays))
+    assert ray.cast_many(df.limit(0), rays).count() == 0
+
+
 def test_two_sets(spark):
     a, b = table(spark, random_boxes(3, 200)), table(spark, random_boxes(4, 150))
     rows_a, rows_b = random_boxes(3, 200), random_boxes(4, 150)
@@ -142,9 +190,7 @@ def test_build_in_memory_by_window_and_by_histogram(spark, monkeypatch):
     places = {r["id"]: r["node_id"] for r in whole.elements.collect()}
     monkeypatch.setattr(tree, "BINS", 16)
     for subtree, window in ((300, 10**6), (0, 10**6), (0, 10), (120, 10)):
-        monkeypatch.setattr(tree, "SUBTREE_ROWS", subtree)
-        monkeypatch.setattr(tree, "WINDOW_ROWS", window)
-        t = tree.build(df, 5)
+        t = tree.build(df, 5, subtree, window)
         assert sorted(map(tuple, t.nodes.collect())) == want
         assert {r["id"]: r["node_id"] for r in t.elements.collect()} == places
 
