@@ -1,5 +1,12 @@
 """A training corpus from raw documents, in stages. Each stage takes (spark, docs, sf_dir), works on all rows its
-predecessor kept and returns a DataFrame; run() applies them in turn, each written as Parquet and read again."""
+predecessor kept and returns a DataFrame; run() applies them in turn, each written as Parquet and read again.
+
+Defined results: columns besides doc_id and text, whatever their names, are passed through up to the last stage, and
+n_chars, where there is one, follows the text. A null or empty text is never toxic, near any other or repeated,
+stays null or empty, and is packed as the closing id alone. A row without id is judged by its text and is no near-duplicate;
+of rows that repeat id and text one stays, and other rows of one id are judged each by its own text. Texts of any
+length are taken whole; an empty table gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -7,12 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import jaccard_join, packing, pii, suffix_dedup, toxicity
-from gridloom.llm.common import load, materialise
+from gridloom.llm.common import discard, load, materialise
 
 
 def _measured(docs: DataFrame) -> DataFrame:
     """n_chars follows a text that a stage has changed."""
-    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +60,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
+    docs, before = load(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(*before)
+        before = [docs]
     return docs
