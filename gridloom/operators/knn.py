@@ -78,7 +78,7 @@ def nearest_many(df: DataFrame, points: DataFrame, k: int) -> DataFrame:
         last += 1
     # in a dense cluster windows start smaller, so that its points do not meet all of it before the k nearest are told
     crowd = boxes.groupBy(F.floor(F.col("x1") / cell[0]), F.floor(F.col("y1") / cell[1])).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-    start = max(LEAST, -math.ceil(math.log(max(1.0, crowd / (32 * k))) / math.log(GROWTH**2)))
+    start = max(LEAST, -math.ceil(math.log(max(1.0, crowd / (512 * k))) / math.log(GROWTH**2)))
     pending, done = points.select("pt_id", "px", "py"), []
     for step in range(start, last + 1):
         classes = list(range(step, max(step, top) + 1))
