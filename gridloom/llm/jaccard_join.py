@@ -20,6 +20,7 @@ least id cannot be told apart and need not be. An empty table gives no rows; ext
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -223,12 +224,12 @@ def _verify(group: dict[str, list], threshold: float, words: int) -> dict[str, l
     return out
 
 
-def _blocks(placed: DataFrame) -> DataFrame:
+def _blocks(placed: DataFrame, written: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """placed with ``block``: within a component, vertices that agree in their first band stand together, in as many blocks
-    as their number and size ask for."""
+    as their number and size ask for. Each join is written apart, so that a large component is split there."""
     size = lambda of: F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(of) / BLOCK_SHINGLES), F.lit(1))
     whole = placed.groupBy("label").agg(size("size").alias("near"))
-    near = placed.join(whole, "label").withColumn("near", F.pmod(F.xxhash64(F.col("bands")[0]), F.col("near")))
+    near = written(placed.join(whole, "label").withColumn("near", F.pmod(F.xxhash64(F.col("bands")[0]), F.col("near"))), "near")
     cut = near.groupBy("label", "near").agg(size("size").alias("cuts"))
     cut = near.join(cut, ["label", "near"]).withColumn("cut", F.pmod(F.xxhash64("v"), F.col("cuts")))
     return cut.withColumn("block", F.col("near") * (1 << 31) + F.col("cut")).drop("near", "cut", "cuts")
@@ -260,7 +261,8 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     links = members.join(shared, ["band", "hash"]).where("v <> leader").select(F.col("leader").alias("a"), F.col("v").alias("b"))
     label = components(links)
     temporary.append(label)
-    placed = written(_blocks(label.withColumnRenamed("id", "v").join(reps.select("v", "copies", "size", "bands"), "v")), "placed")
+    labelled = written(label.withColumnRenamed("id", "v").join(reps.select("v", "copies", "size", "bands"), "v"), "labelled")
+    placed = written(_blocks(labelled, written), "placed")
     # blocks of a component that share a band's hash meet; a bucket gives a row for each block in it, not for each vertex
     held = placed.select("label", "block", F.posexplode("bands").alias("band", "hash")).distinct()
     one, two = held.withColumnRenamed("block", "i"), held.withColumnRenamed("block", "j")

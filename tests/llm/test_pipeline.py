@@ -85,3 +85,35 @@ def test_prediction_inputs(spark):
     model = language_id.train(df.selectExpr("doc_id id", "text", "'fr' lang"))
     assert {tuple(r)[1:] for r in language_id.predict(df, model).collect()} == {("fr", 1.0)}
     assert suffix_dedup.DEPTH == 200
+
+
+def odd_tables(spark, folder, docs, columns):
+    spark.createDataFrame(docs, columns).write.parquet(f"{folder}/documents.parquet")
+    labels = [(k, 1, int(k % 5 == 1)) for k in range(1000, 1060)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def test_odd_tables(spark, tmp_path):
+    """Null, empty and very long texts, null and repeated ids, and columns whose names the operators use themselves."""
+    rng = np.random.default_rng(2)
+    text = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    long, same, shared = text(60_000), text(80), text(60)
+    rows = [(1, None), (2, ""), (3, long), (4, same), (4, same), (4, text(50)), (None, same), (None, None), (5, f"{text(30)} {shared} {text(30)}"), (6, f"{text(30)} {shared} {text(30)}")]
+    rows += [(k, f"{'stupid moron ' * 3 if k % 5 == 1 else 'kind friend '} {text(10)}") for k in range(1000, 1060)]
+    docs = [(d, t, 7, f"x{i}", float(i), i) for i, (d, t) in enumerate(rows)]
+    folder = odd_tables(spark, tmp_path, docs, "doc_id long, text string, _row int, bands string, score double, rank int")
+    frame = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = C.drop_near_duplicates(spark, frame, folder)
+    assert kept.columns == frame.columns and kept.count() == len(rows) - 1  # of the two rows 4 with one text, one stays
+    for name, stage in C.STAGES[:-1]:
+        out = stage(spark, frame, folder)
+        assert out.columns == frame.columns, name
+        assert stage(spark, frame.limit(0), folder).count() == 0, name
+    got = C.run(spark, folder).collect()
+    tokens = {}
+    for r in got:
+        tokens.setdefault(r["doc_id"], []).append(r["doc_tokens"])
+    assert tokens[1] == [1] and tokens[2] == [1] and len(tokens[4]) == 2 and len(tokens[3]) > 100
+    assert len(tokens[None]) == 2 and max(tokens[5] + tokens[6]) < 700
+    assert not any(k in tokens for k in range(1000, 1060) if k % 5 == 1 and zlib.crc32(str(k).encode()) % 5)
