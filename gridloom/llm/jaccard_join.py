@@ -275,7 +275,8 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     shingled = task.agg(F.sum("size")).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(shingled) // BLOCK_SHINGLES))
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
-    spread = texts.join(task, "rep").select(*VERTEX, "copies", "task", "side", "text").repartition(parts, "task").sortWithinPartitions("task")
+    # the same join at every size: a table that happens to be small is not broadcast
+    spread = texts.join(task.hint("merge"), "rep").select(*VERTEX, "copies", "task", "side", "text").repartition(parts, "task").sortWithinPartitions("task")
 
     def run(batches):
         group: dict[str, list] = {}
