@@ -204,6 +204,29 @@ def push_apart(df: DataFrame, pairs: DataFrame) -> DataFrame:
     return df.select("id").join(force, "id", "left").select("id", F.coalesce("fx", F.lit(0)).alias("fx"), F.coalesce("fy", F.lit(0)).alias("fy"))
 
 
+def merge(df: DataFrame, pairs: DataFrame) -> DataFrame:
+    """id, mass, vx, vy, into: one turn of perfectly inelastic collisions of bodies with positive ``mass`` and ``vx``, ``vy``.
+
+    A body that outweighs all it touches (ties to the smaller id) takes in those to whom it is the heaviest they touch,
+    and their mass and momentum; these are left with nothing and name it as ``into``. A body whose heaviest is itself
+    outweighed waits for the next turn. So the result depends on values only, not on an order of the pairs."""
+    rank = F.struct("mass", (-F.col("id")).alias("key"))
+    heaviest = ends(pairs).join(df.select(F.col("id").alias("other"), rank.alias("rank")), "other").groupBy("id").agg(F.max("rank").alias("best"))
+    bodies = df.select("id", "mass", "vx", "vy").join(heaviest, "id", "left")
+    below = F.col("best").isNotNull() & (F.col("best") > rank)
+    tops = bodies.where(~below).select(F.col("id").alias("into"))
+    taken = bodies.where(below).withColumn("into", -F.col("best.key")).join(tops, "into").select("id", "into", "mass", "vx", "vy")
+    gain = taken.groupBy(F.col("into").alias("id")).agg(F.sum("mass").alias("m"), F.sum(F.col("mass") * F.col("vx")).alias("mx"), F.sum(F.col("mass") * F.col("vy")).alias("my"))
+    out = df.select("id", "mass", "vx", "vy").join(gain, "id", "left").join(taken.select("id", "into"), "id", "left")
+    total = F.col("mass") + F.coalesce("m", F.lit(0))
+
+    def speed(v: str, momentum: str) -> Column:
+        moved = F.when(F.col("m").isNull(), F.col(v).cast("double")).otherwise((F.col("mass") * F.col(v) + F.col(momentum)) / total)
+        return F.when(F.col("into").isNull(), moved).otherwise(0.0).alias(v)
+
+    return out.select("id", F.when(F.col("into").isNull(), total).otherwise(0).alias("mass"), speed("vx", "mx"), speed("vy", "my"), "into")
+
+
 def colliding(df: DataFrame, pairs: DataFrame) -> DataFrame:
     """Rows of df that collide with any other."""
     return df.join(ends(pairs).select("id").distinct(), "id", "left_semi")

@@ -476,6 +476,22 @@ def f17_push_apart(spark, d):
     return pairs.push_apart(df, pairs.grid(df))
 
 
+_MOVING = "moving as (select id, 1 + id % 7 mass, id % 11 - 5 vx, id % 13 - 6 vy from boxes)"
+_HEAVIEST = "heaviest as (select e.id, arg_max(o.id, o.mass * 1000000000000 - o.id) best, max(o.mass * 1000000000000 - o.id) w from ends e join moving o on o.id = e.other group by 1)"
+_TOPS = "tops as (select m.id from moving m left join heaviest h using (id) where h.w is null or h.w < m.mass * 1000000000000 - m.id)"
+_TAKEN = "taken as (select m.*, best top from moving m join heaviest h using (id) where best in (from tops) and m.id not in (from tops))"
+_GAIN = "gain as (select top id, sum(mass) m, sum(mass * vx) mx, sum(mass * vy) my from taken group by 1)"
+_SPEED = "cast(case when t.id is not null then 0 else round((b.mass * b.{v} + coalesce(g.m{c}, 0))::double / (b.mass + coalesce(g.m, 0)) * 1000000) end as bigint) {v}"
+
+
+@query(_box_sql(f"select b.id, cast(case when t.id is not null then 0 else b.mass + coalesce(g.m, 0) end as bigint) mass, {_SPEED.format(v='vx', c='x')}, {_SPEED.format(v='vy', c='y')}, t.top \"into\" from moving b left join gain g using (id) left join taken t using (id)", S.PAIRS, S.ENDS, _MOVING, _HEAVIEST, _TOPS, _TAKEN, _GAIN))
+def f17_inelastic_merge(spark, d):
+    df = _orders(spark, d)
+    moving = df.withColumns({"mass": 1 + F.col("id") % 7, "vx": F.col("id") % 11 - 5, "vy": F.col("id") % 13 - 6})
+    micro = [F.round(F.col(v) * 1_000_000).cast("long").alias(v) for v in ("vx", "vy")]
+    return pairs.merge(moving, pairs.grid(df)).select("id", F.col("mass").cast("long").alias("mass"), *micro, "into")
+
+
 @query(_box_sql("select b.id, count(e.id) % 2 parity from boxes b left join ends e using (id) group by 1", S.PAIRS, S.ENDS))
 def f18_parity(spark, d):
     df = _orders(spark, d)
@@ -719,6 +735,20 @@ def j08_forces_of_another_law(spark, d):
 _MASSES = S.ctes(S.BODIES, "boxes as (select id, px x1, px x2, py y1, py y2 from bodies)", *S.tree(3))
 
 
+_ACTS = S.ctes(S.BODIES, "boxes as (select id, px x1, px x2, py y1, py y2 from bodies)", *S.tree(4), *S.frontiers(400, 200))
+_PULLS = "select id, cast(round(coalesce(sum(m * dx / greatest(dx * dx + dy * dy, 1.0)), 0) * 1000000) as bigint) fx, cast(round(coalesce(sum(m * dy / greatest(dx * dx + dy * dy, 1.0)), 0) * 1000000) as bigint) fy from "
+
+
+@query(_ACTS + _PULLS + "bodies left join (select k id, dx, dy, m from acts where not is_node union all select id, dx, dy, m from acts join ups on up = k where is_node) using (id) group by 1")
+def j04_forces_by_frontiers(spark, d):
+    return _micro(nbody.by_frontiers(tree.build(tables.supplier_bodies(spark, d), 4), 400.0, 200.0))
+
+
+@query(_NBODY)
+def j03_forces_by_frontiers_opened(spark, d):
+    return _micro(nbody.by_frontiers(tree.build(tables.supplier_bodies(spark, d), 4), float("inf"), float("inf")))
+
+
 @query(_MASSES + "select node_id >> s node_id, cast(sum(mass) as bigint) mass, cast(round(sum(mass * px)::double / sum(mass) * 1000000) as bigint) cx from (select el.*, unnest(range(0, level + 1)) s from el) join bodies using (id) group by 1")
 def j02_node_masses(spark, d):
     got = nbody.node_masses(tree.build(tables.supplier_bodies(spark, d), 3))

@@ -83,3 +83,23 @@ def tree(levels: int | None = None, most: int = 11) -> list[str]:
         "cast(coalesce(own.n, 0) as bigint) n, cast(coalesce(fewest.n, 0) as bigint) min_elem from ids left join own using (node_id) left join dv using (node_id) left join fewest using (node_id))"
     )
     return out
+
+
+def frontiers(near: int, half: int) -> list[str]:
+    """CTEs acts (a, p_node, p, q_node, q and both places and masses) over bodies and the tree's el, dv: who meets whom by frontiers."""
+    out = [
+        "ups as (select id, level, node_id, node_id >> s up from (select el.*, unnest(range(0, level + 1)) s from el))",
+        "mass as (select up d, cast(floor(log2(up + 0.5)) as bigint) ld, sum(mass)::double m, sum(mass * px)::double / sum(mass) x, sum(mass * py)::double / sum(mass) y from ups join bodies using (id) group by 1)",
+        "splits as (select node_id a, cast(floor(log2(node_id + 0.5)) as bigint) la, div from dv)",
+        "met as (select a, d, ld, 1 + (d >> greatest(ld - la - 1, 0)) % 2 side, abs(case la % 2 when 0 then x else y end - div) dist, m, x, y from splits join mass on ld > la and d >> greatest(ld - la, 0) = a)",
+    ]
+    for name, bound in (("whole", near), ("half", half)):
+        out.append(f"{name}_reached as (select * from met where not exists (select 1 from met o where o.a = met.a and o.ld < met.ld and met.d >> greatest(met.ld - o.ld, 0) = o.d and o.dist >= {bound}))")
+        out.append(
+            f"{name} as (select a, side, true is_node, d k, x, y, m from {name}_reached where dist >= {bound} "
+            f"union all select a, side, false, id, px, py, mass from {name}_reached join el on node_id = d join bodies using (id) where dist < {bound})"
+        )
+    out.append("anchors as (select node_id a, 0 side, false is_node, id k, px::double x, py::double y, mass::double m from el join bodies using (id))")
+    out.append("one_way as (select p.is_node p_node, p.k p, p.x px, p.y py, p.m pm, q.is_node q_node, q.k q, q.x qx, q.y qy, q.m qm from (select p, q from anchors p join whole q using (a) union all select p, q from half p join half q using (a) where p.side = 1 and q.side = 2 union all select p, q from anchors p join anchors q using (a) where p.k < q.k))")
+    out.append("acts as (select p_node is_node, p k, qx - px dx, qy - py dy, qm m from one_way union all select q_node, q, px - qx, py - qy, pm from one_way)")
+    return out

@@ -244,3 +244,21 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(seen) == [(0, 2), (1, 2)]
+
+
+def test_bodies_by_frontiers(spark):
+    rows = [(i, (i * 37) % 101, (i * 53) % 97, 1 + i % 5) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, px long, py long, mass long").withColumns({"x1": F.col("px"), "x2": F.col("px"), "y1": F.col("py"), "y2": F.col("py")})
+    want = {r["id"]: (r["fx"], r["fy"]) for r in nbody.naive(df).collect()}
+    for levels, near in ((1, 5.0), (4, float("inf"))):
+        got = nbody.by_frontiers(tree.build(df, levels), near, near).collect()
+        assert len(got) == 200
+        assert all(abs(r["fx"] - want[r["id"]][0]) + abs(r["fy"] - want[r["id"]][1]) < 1e-9 for r in got)
+
+
+def test_merge(spark):
+    # 1 outweighs 2 and 3; 4 would join 3, which is taken itself; 5 and 6 weigh the same; 7 touches none
+    df = spark.createDataFrame([(1, 9, 1, 0), (2, 3, 5, 4), (3, 2, -7, 0), (4, 1, 8, 8), (5, 4, 2, 2), (6, 4, 4, 0), (7, 5, 3, 1)], "id long, mass long, vx long, vy long")
+    pair = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (3, 4), (5, 6)], "id_a long, id_b long")
+    got = {r["id"]: tuple(r)[1:] for r in pairs.merge(df, pair).collect()}
+    assert got == {1: (14, 10 / 14, 12 / 14, None), 2: (0, 0.0, 0.0, 1), 3: (0, 0.0, 0.0, 1), 4: (1, 8.0, 8.0, None), 5: (8, 3.0, 1.0, None), 6: (0, 0.0, 0.0, 5), 7: (5, 3.0, 1.0, None)}
