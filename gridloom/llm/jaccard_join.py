@@ -91,11 +91,11 @@ def signature(found: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-SIGNED = pa.schema([("doc_id", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("size", pa.int64()), ("bands", pa.list_(pa.int64()))])
+SIGNED = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("size", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
 
 def signed(docs: DataFrame, threshold: float, recall: float, words: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, a 128-bit name of its set (null without words), the set's size, and a hash for each band."""
+    """doc_id, the text's digest, a 128-bit name of its set (null without words), the set's size, and a hash for each band."""
     tune(docs.sparkSession)
     n_bands, n_rows = bands_for(threshold, recall)
 
@@ -104,9 +104,10 @@ def signed(docs: DataFrame, threshold: float, recall: float, words: int, id_col:
         for rb in batches:
             cols: dict[str, list] = {f.name: [] for f in SIGNED}
             known: dict[bytes, np.ndarray] = {}
-            for doc, text in zip(rb.column("id").to_pylist(), texts_of(rb.column("text")), strict=True):
+            for doc, digest, text in zip(rb.column("id").to_pylist(), rb.column("digest").to_pylist(), texts_of(rb.column("text")), strict=True):
                 found = shingles(text, words)
                 cols["doc_id"].append(doc)
+                cols["digest"].append(digest)
                 cols["size"].append(len(found))
                 if not len(found):
                     for k in ("set_a", "set_b", "bands"):
@@ -122,8 +123,8 @@ def signed(docs: DataFrame, threshold: float, recall: float, words: int, id_col:
                 cols["bands"].append(known[name])
             yield batch(cols, SIGNED)
 
-    ddl = "doc_id bigint, set_a bigint, set_b bigint, size bigint, bands array<bigint>"
-    return dealt(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))).mapInArrow(released(run), ddl)
+    ddl = "doc_id bigint, digest bigint, set_a bigint, set_b bigint, size bigint, bands array<bigint>"
+    return dealt(docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text"))).mapInArrow(released(run), ddl)
 
 
 def _similar(inter: np.ndarray, na: np.ndarray, nb: np.ndarray, threshold: float) -> np.ndarray:
@@ -192,17 +193,8 @@ VERIFIED_DDL = ", ".join(f"{f.name} bigint" for f in VERIFIED)
 def _verify(group: dict[str, list], threshold: float, words: int) -> dict[str, list]:
     """Links and a spanning forest of one pair of blocks. Rows without b hold links of a; others are edges."""
     sets = [shingles(t, words) for t in group["text"]]
-    own = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-    # rows that repeat an id bring each of its texts; one with the vertex's own set stands for it
-    keep = {
-        vertex: k
-        for k, (vertex, digest) in enumerate(zip(zip(*(group[c] for c in VERTEX), strict=True), own, strict=True))
-        if tuple(np.frombuffer(digest, np.int64)) == vertex[1:]
-    }
-    vertices = sorted(keep)
-    at = [keep[v] for v in vertices]
-    sets = [sets[k] for k in at]
-    copies, side = (np.array([group[c][k] for k in at], np.int64) for c in ("copies", "side"))
+    vertices = list(zip(*(group[c] for c in VERTEX), strict=True))
+    copies, side = (np.array(group[c], np.int64) for c in ("copies", "side"))
     one, two = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
     out: dict[str, list] = {f.name: [] for f in VERIFIED}
     if not len(one) or not len(two):
@@ -251,7 +243,8 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     reps = written(
         rows.where("size > 0 and doc_id is not null")
         .groupBy(*name)
-        .agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("size").alias("size"), F.first("bands").alias("bands"))
+        .agg(F.min(F.struct("doc_id", "digest")).alias("row"), F.count("*").alias("copies"), F.min("size").alias("size"), F.first("bands").alias("bands"))
+        .select(*name, F.col("row.doc_id").alias("rep"), F.col("row.digest").alias("digest"), "copies", "size", "bands")
         .withColumn("v", vertex),
         "reps",
     )
@@ -261,7 +254,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     links = members.join(shared, ["band", "hash"]).where("v <> leader").select(F.col("leader").alias("a"), F.col("v").alias("b"))
     label = components(links)
     temporary.append(label)
-    labelled = written(label.withColumnRenamed("id", "v").join(reps.select("v", "copies", "size", "bands"), "v"), "labelled")
+    labelled = written(label.withColumnRenamed("id", "v").join(reps.select("v", "digest", "copies", "size", "bands"), "v"), "labelled")
     placed = written(_blocks(labelled, written), "placed")
     # blocks of a component that share a band's hash meet; a bucket gives a row for each block in it, not for each vertex
     held = placed.select("label", "block", F.posexplode("bands").alias("band", "hash")).distinct()
@@ -270,13 +263,15 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     both = met.select("label", "i", "j", F.explode(F.array(F.struct(F.col("i").alias("block"), F.lit(0).alias("side")), F.struct(F.col("j").alias("block"), F.lit(1).alias("side")))).alias("m"))
     alone = placed.select("label", F.col("block").alias("i"), F.col("block").alias("j"), "block", F.lit(2).alias("side")).distinct()
     meets = written(both.select("label", "i", "j", "m.block", "m.side").unionByName(alone), "meets")
-    dealt_out = placed.select("v", "copies", "size", "label", "block").join(meets, ["label", "block"])
-    task = written(dealt_out.select("v.*", "copies", "size", F.xxhash64("label", "i", "j").alias("task"), "side"), "tasks")
+    dealt_out = placed.select("v", "digest", "copies", "size", "label", "block").join(meets, ["label", "block"])
+    task = written(dealt_out.select("v.*", "digest", "copies", "size", F.xxhash64("label", "i", "j").alias("task"), "side"), "tasks")
     shingled = task.agg(F.sum("size")).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(shingled) // BLOCK_SHINGLES))
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
+    # a vertex asks for one text of its id, so an id may have any number of rows; those that repeat one text are made one first
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text"))
+    texts = texts.groupBy("rep", "digest").agg(F.first("text").alias("text"))
     # the same join at every size: a table that happens to be small is not broadcast
-    spread = texts.join(task.hint("merge"), "rep").select(*VERTEX, "copies", "task", "side", "text").repartition(parts, "task").sortWithinPartitions("task")
+    spread = texts.join(task.hint("merge"), ["rep", "digest"]).select(*VERTEX, "copies", "task", "side", "text").repartition(parts, "task").sortWithinPartitions("task")
 
     def run(batches):
         group: dict[str, list] = {}

@@ -63,6 +63,23 @@ def test_ids_with_several_texts(spark):
         assert sorted(map(tuple, J.join(df).collect())) == brute(rows)
 
 
+def test_an_id_of_many_rows_sends_each_vertex_one_text(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 100)]
+    texts = [" ".join([*base, f"z{k}"]) for k in range(30)]
+    rows = [(1, t) for t in texts for _ in range(5)] + [(2, " ".join(base))]
+    monkeypatch.setattr(J, "BLOCK_ROWS", 8)
+    held = J._verify
+
+    def verify(group, *more):
+        assert len(set(zip(*(group[c] for c in J.VERTEX), strict=True))) == len(group["text"])
+        return held(group, *more)
+
+    monkeypatch.setattr(J, "_verify", verify)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert sorted(map(tuple, J.join(df).collect())) == brute(rows)
+
+
 def test_very_long_texts(spark):
     rng = np.random.default_rng(6)
     long = [f"w{x}" for x in rng.integers(0, 10**6, 150_000)]
