@@ -184,16 +184,15 @@ def _forest(hit: np.ndarray, one: np.ndarray, two: np.ndarray) -> list[tuple[int
     return edges
 
 
-#: A vertex is the least id of the documents with a set, and the set's name: an id with several texts is several vertices.
-VERTEX = ("rep", "set_a", "set_b")
-VERIFIED = pa.schema([*((f"{side}_{c}", pa.int64()) for side in "ab" for c in VERTEX), ("links", pa.int64())])
-VERIFIED_DDL = ", ".join(f"{f.name} bigint" for f in VERIFIED)
+#: A vertex is a number given to a set once, in a written table: an id with several texts is several vertices.
+VERIFIED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
+VERIFIED_DDL = "a bigint, b bigint, links bigint"
 
 
 def _verify(group: dict[str, list], threshold: float, words: int) -> dict[str, list]:
     """Links and a spanning forest of one pair of blocks. Rows without b hold links of a; others are edges."""
     sets = [shingles(t, words) for t in group["text"]]
-    vertices = list(zip(*(group[c] for c in VERTEX), strict=True))
+    vertices = group["v"]
     copies, side = (np.array(group[c], np.int64) for c in ("copies", "side"))
     one, two = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
     out: dict[str, list] = {f.name: [] for f in VERIFIED}
@@ -209,9 +208,8 @@ def _verify(group: dict[str, list], threshold: float, words: int) -> dict[str, l
         links[two] += copies[one] @ hit
     some = np.flatnonzero(links)
     edges = _forest(hit, one, two)
-    for k, c in enumerate(VERTEX):
-        out[f"a_{c}"] = [*(vertices[i][k] for i in some), *(vertices[i][k] for i, _ in edges)]
-        out[f"b_{c}"] = [*[None] * len(some), *(vertices[j][k] for _, j in edges)]
+    out["a"] = [*(vertices[i] for i in some), *(vertices[i] for i, _ in edges)]
+    out["b"] = [*[None] * len(some), *(vertices[j] for _, j in edges)]
     out["links"] = [*links[some], *[0] * len(edges)]
     return out
 
@@ -239,13 +237,12 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
 
     rows = written(signed(docs, threshold, recall, words, id_col, text_col), "signed")
     name = ["set_a", "set_b"]
-    vertex = F.struct(*VERTEX)
     reps = written(
         rows.where("size > 0 and doc_id is not null")
         .groupBy(*name)
         .agg(F.min(F.struct("doc_id", "digest")).alias("row"), F.count("*").alias("copies"), F.min("size").alias("size"), F.first("bands").alias("bands"))
         .select(*name, F.col("row.doc_id").alias("rep"), F.col("row.digest").alias("digest"), "copies", "size", "bands")
-        .withColumn("v", vertex),
+        .withColumn("v", F.monotonically_increasing_id()),
         "reps",
     )
     members = reps.select("v", F.posexplode("bands").alias("band", "hash"))
@@ -254,7 +251,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     links = members.join(shared, ["band", "hash"]).where("v <> leader").select(F.col("leader").alias("a"), F.col("v").alias("b"))
     label = components(links)
     temporary.append(label)
-    labelled = written(label.withColumnRenamed("id", "v").join(reps.select("v", "digest", "copies", "size", "bands"), "v"), "labelled")
+    labelled = written(label.withColumnRenamed("id", "v").join(reps.select("v", "rep", "digest", "copies", "size", "bands"), "v"), "labelled")
     placed = written(_blocks(labelled, written), "placed")
     # blocks of a component that share a band's hash meet; a bucket gives a row for each block in it, not for each vertex
     held = placed.select("label", "block", F.posexplode("bands").alias("band", "hash")).distinct()
@@ -263,15 +260,15 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     both = met.select("label", "i", "j", F.explode(F.array(F.struct(F.col("i").alias("block"), F.lit(0).alias("side")), F.struct(F.col("j").alias("block"), F.lit(1).alias("side")))).alias("m"))
     alone = placed.select("label", F.col("block").alias("i"), F.col("block").alias("j"), "block", F.lit(2).alias("side")).distinct()
     meets = written(both.select("label", "i", "j", "m.block", "m.side").unionByName(alone), "meets")
-    dealt_out = placed.select("v", "digest", "copies", "size", "label", "block").join(meets, ["label", "block"])
-    task = written(dealt_out.select("v.*", "digest", "copies", "size", F.xxhash64("label", "i", "j").alias("task"), "side"), "tasks")
+    dealt_out = placed.select("v", "rep", "digest", "copies", "size", "label", "block").join(meets, ["label", "block"])
+    task = written(dealt_out.select("v", "rep", "digest", "copies", "size", F.xxhash64("label", "i", "j").alias("task"), "side"), "tasks")
     shingled = task.agg(F.sum("size")).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(shingled) // BLOCK_SHINGLES))
     # a vertex asks for one text of its id, so an id may have any number of rows; those that repeat one text are made one first
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text"))
     texts = texts.groupBy("rep", "digest").agg(F.first("text").alias("text"))
     # the same join at every size: a table that happens to be small is not broadcast
-    spread = texts.join(task.hint("merge"), ["rep", "digest"]).select(*VERTEX, "copies", "task", "side", "text").repartition(parts, "task").sortWithinPartitions("task")
+    spread = texts.join(task.hint("merge"), ["rep", "digest"]).select("v", "copies", "task", "side", "text").repartition(parts, "task").sortWithinPartitions("task")
 
     def run(batches):
         group: dict[str, list] = {}
@@ -288,7 +285,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
                         if len(out["links"]) > 10_000:
                             yield batch(out, VERIFIED)
                             out = {f.name: [] for f in VERIFIED}
-                    key, group = k, {c: [] for c in (*VERTEX, "copies", "side", "text")}
+                    key, group = k, {c: [] for c in ("v", "copies", "side", "text")}
                 for c in group:
                     group[c].append(cols[c][r])
         if key is not None:
@@ -297,11 +294,12 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
         yield batch(out, VERIFIED)
 
     verified = written(spread.mapInArrow(released(run), VERIFIED_DDL), "verified")
-    side = lambda x: F.struct(*(F.col(f"{x}_{c}").alias(c) for c in VERTEX))
-    n_links = verified.where("b_rep is null").groupBy(side("a").alias("v")).agg(F.sum("links").alias("links"))
-    found = components(verified.where("b_rep is not null").select(side("a").alias("a"), side("b").alias("b")))
+    n_links = verified.where("b is null").groupBy(F.col("a").alias("v")).agg(F.sum("links").alias("links"))
+    found = components(verified.where("b is not null").select("a", "b"))
     temporary.append(found)
-    classes = found.select(F.col("id").alias("v"), F.col("label.rep").alias("class_id"))
+    ranked = written(found.withColumnRenamed("id", "v").join(reps.select("v", "rep"), "v"), "ranked")
+    # written apart, so that a class of very many sets is split there
+    classes = written(ranked.join(ranked.groupBy("label").agg(F.min("rep").alias("class_id")), "label").select("v", "class_id"), "of-class")
     known = reps.select(*name, "rep", "copies", "v").join(n_links, "v", "left").join(classes, "v", "left")
     known = known.select(*name, F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     named = rows.where("size > 0 and doc_id is not null").select("doc_id", *name).join(known, name).select("doc_id", "class_id", "n_links")
