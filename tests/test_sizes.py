@@ -10,3 +10,9 @@ def test_rectangles_in_blocks_equal_the_loop(spark):
     for mode in ("contained", "intersects"):
         assert verify.same(rect.naive_many(df, rects, mode), rect.naive_many(df, rects, mode, plain=0))
     assert rect.naive_many(df.limit(0), rects, plain=-1).count() == 0
+
+
+def test_pairs_in_blocks_equal_the_loop(spark):
+    df = table(spark, random_boxes(13, 900))
+    assert as_pairs(pairs.naive(df, plain=0)) == as_pairs(pairs.naive(df))
+    assert pairs.blocks(df, 904).groupBy("block").count().agg({"count": "max"}).first()[0] <= pairs.BLOCK
