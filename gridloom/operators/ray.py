@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Box, ray_t, side
-from ..plans.lineage import MAX_BROADCAST_ROWS, spread
-from .pairs import GROWTH, _base, _size_class
+from ..plans.lineage import MAX_BROADCAST_ROWS, cut, spread
+from .pairs import GROWTH, PLAIN, _base, _size_class, blocks, bounds, few_blocks
 
 Hit = Callable[[Column, Column, Column, Column], Column]
+#: How many cells a ray looks into at first, and then, before it looks into all.
+STEPS = (4, 64)
 
 
 def cast(df: DataFrame, px, py, dx, dy, fine: Hit | None = None, broad: Hit | None = None) -> DataFrame:
@@ -30,15 +32,16 @@ def naive(df: DataFrame, px, py, dx, dy) -> DataFrame:
     return hits.withColumn("place", F.rank().over(Window.orderBy("t"))).where(F.col("place") == 1).drop("place")
 
 
-def _first(hits: DataFrame) -> DataFrame:
+def _first(hits: DataFrame, *more: str) -> DataFrame:
     """Of hits (ray_id, id, t) all at each ray's smallest t; each task keeps its own smallest before they are shuffled."""
     ranked = hits.withColumn("place", F.rank().over(Window.partitionBy("ray_id").orderBy("t"))).where(F.col("place") <= 1)
-    return ranked.select("ray_id", "id", "t").distinct()
+    return ranked.select("ray_id", "id", "t", *more).distinct()
 
 
 def _walked(df: DataFrame, rays: DataFrame) -> DataFrame:
-    """ray_id, id, t of the boxes in the cells that each ray crosses. Cells are as large as the usual box, or as boxes spread
-    evenly would stand apart, so a ray crosses about as many as the root of the table's size."""
+    """ray_id, id, t of each ray's first boxes, found through the cells that it crosses. Cells are as large as the usual box, or
+    as boxes spread evenly would stand apart, so a ray could cross as many as the root of the table's size: it looks into
+    the first STEPS[0] of them, goes on only if it has hit nothing there, and looks into all that are left at the end."""
     boxes = df.select("id", "x1", "x2", "y1", "y2")
     x1, x2, y1, y2, n = boxes.agg(F.min("x1"), F.max("x2"), F.min("y1"), F.max("y2"), F.count("*")).first()
     if not n:
@@ -58,7 +61,35 @@ def _walked(df: DataFrame, rays: DataFrame) -> DataFrame:
     safe = lambda d: F.when(d == 0, F.lit(1.0)).otherwise(d)
     leave = lambda p, d, lo, hi: F.when(d == 0, F.lit(float("inf"))).otherwise(F.greatest((F.lit(float(lo)) - p) / safe(d), (F.lit(float(hi)) - p) / safe(d)))
     own = rays.select("ray_id", "px", "py", "dx", "dy", near.alias("t1"), F.least(leave(px, dx, x1, x2), leave(py, dy, y1, y2)).alias("t2")).where(F.col("t1").isNotNull())
-    own = own.withColumn("t2", F.when(F.col("t2") == float("inf"), F.col("t1")).otherwise(F.greatest("t1", "t2")))  # a ray without direction
+    own = own.withColumn("leave", F.when(F.col("t2") == float("inf"), F.col("t1")).otherwise(F.greatest("t1", "t2")))  # a ray without direction
+    speed = F.abs(dx) / cell[0] + F.abs(dy) / cell[1]
+    pending, found = own.drop("t2"), None
+    for step in (*STEPS, None):
+        if step is None:
+            near = pending.withColumn("t2", F.col("leave"))
+        else:
+            near = pending.withColumn("t2", F.when(speed == 0, F.col("leave")).otherwise(F.least(F.col("leave"), F.col("t1") + step / F.when(speed == 0, F.lit(1.0)).otherwise(speed))))
+        hits = _first(_met(near, home, cell, classes), "t2", "leave")
+        if step is not None:
+            hits = cut(hits)
+        # a box that is hit later on than the ray was followed need not be the first
+        done = hits.where((F.col("t") <= F.col("t2")) | (F.col("t2") >= F.col("leave")))
+        part = done.select("ray_id", "id", "t")
+        found = part if found is None else found.unionByName(part)
+        if step is None:
+            break
+        pending = cut(near.where(F.col("t2") < F.col("leave")).join(done.select("ray_id").distinct(), "ray_id", "left_anti").withColumn("t1", F.col("t2")).drop("t2"))
+        if pending.isEmpty():
+            break
+    return found
+
+
+def _met(own: DataFrame, home: DataFrame, cell: tuple[float, float], classes: list[int]) -> DataFrame:
+    """ray_id, id, t, t2, leave of the boxes in the cells that each ray crosses from t1 to t2."""
+    px, py, dx, dy = (F.col(c).cast("double") for c in ("px", "py", "dx", "dy"))
+    safe = lambda d: F.when(d == 0, F.lit(1.0)).otherwise(d)
+    scale = F.pow(F.lit(float(GROWTH)), F.col("size"))
+    cw, ch = scale * F.lit(cell[0]), scale * F.lit(cell[1])
     own = own.withColumn("size", F.explode(F.array(*(F.lit(c) for c in classes))))
     slack = lambda width, p, d: width * 1e-6 + (F.abs(p) + F.abs(d * F.col("t2"))) * 1e-12
     ends = lambda p, d, a, b: (F.least(p + d * a, p + d * b), F.greatest(p + d * a, p + d * b))
@@ -73,9 +104,10 @@ def _walked(df: DataFrame, rays: DataFrame) -> DataFrame:
     lo, hi = ends(py, dy, F.col("a"), F.col("b"))
     more = slack(ch, py, dy)
     path = path.withColumn("cy", F.explode(F.sequence(F.floor((lo - more) / ch), F.floor((hi + more) / ch))))
-    met = path.select("ray_id", "px", "py", "dx", "dy", "size", "cx", "cy").join(home, ["size", "cx", "cy"])
+    # a few rays make many rows here, which is not seen in the size they are taken to have: they are never broadcast
+    met = path.select("ray_id", "px", "py", "dx", "dy", "t2", "leave", "size", "cx", "cy").hint("merge").join(home, ["size", "cx", "cy"])
     ray = tuple(F.col(c) for c in ("px", "py", "dx", "dy"))
-    return met.withColumn("t", ray_t(side(), *ray)).where(F.col("t").isNotNull()).select("ray_id", "id", "t")
+    return met.withColumn("t", ray_t(side(), *ray)).where(F.col("t").isNotNull()).select("ray_id", "id", "t", "t2", "leave")
 
 
 def cast_many(df: DataFrame, rays: DataFrame, fine: Hit | None = None, broad: Hit | None = None) -> DataFrame:
@@ -84,12 +116,15 @@ def cast_many(df: DataFrame, rays: DataFrame, fine: Hit | None = None, broad: Hi
     Boxes are found through the cells that a ray crosses. With fine, a hit need not lie in the box, so rays
     are compared with every row that broad lets through, broadcast in lots of at most MAX_BROADCAST_ROWS."""
     if fine is None:
-        return _first(_walked(df, rays))
+        return _walked(df, rays)
     return naive_many(df, rays, fine, broad)
 
 
-def naive_many(df: DataFrame, rays: DataFrame, fine: Hit | None = None, broad: Hit | None = None) -> DataFrame:
-    """cast_many() by every row for every ray; without fine the twin to check it against, for small tables."""
+def naive_many(df: DataFrame, rays: DataFrame, fine: Hit | None = None, broad: Hit | None = None, plain: int = PLAIN) -> DataFrame:
+    """cast_many() by every row for every ray; without fine the twin to check it against. Beyond plain comparisons the twin
+    leaves out the blocks of rows that a ray misses."""
+    if fine is None and broad is None and (n := df.count()) * rays.count() > plain:
+        return _by_blocks(df, rays, n)
     lots = max(1, -(-rays.count() // MAX_BROADCAST_ROWS))
     found, df = None, spread(df)
     for lot in range(lots):
@@ -103,6 +138,22 @@ def naive_many(df: DataFrame, rays: DataFrame, fine: Hit | None = None, broad: H
     return found
 
 
+def _by_blocks(df: DataFrame, rays: DataFrame, n: int) -> DataFrame:
+    """Each ray's smallest t over the rows of all blocks whose bounds it meets, then the rows at that t."""
+    rows, sides = blocks(df, n), ("x1", "x2", "y1", "y2")
+    ray = tuple(F.col(c) for c in ("px", "py", "dx", "dy"))
+    own = rays.select("ray_id", "px", "py", "dx", "dy").repartition(rays.sparkSession.sparkContext.defaultParallelism)
+    near = own.join(few_blocks(bounds(rows), n)).withColumn("enter", ray_t(side(), *ray)).where(F.col("enter").isNotNull()).drop(*sides)
+
+    def hits(near: DataFrame) -> DataFrame:
+        return near.hint("merge").join(rows, "block").withColumn("t", ray_t(side(), *ray)).where(F.col("t").isNotNull())
+
+    # a block is entered no later than its rows are hit, but for what rounding may take
+    first = cut(hits(near).groupBy("ray_id").agg(F.min("t").alias("first")))
+    left = near.join(first.hint("merge"), "ray_id").where(F.col("enter") <= F.col("first") * (1 + 1e-9) + 1e-9)
+    return hits(left).where(F.col("t") == F.col("first")).select("ray_id", "id", "t").distinct()
+
+
 def fan(df: DataFrame, rays: DataFrame, miss: float, **how) -> DataFrame:
     """ray_id, t: the smallest t of each ray, ``miss`` where nothing is hit."""
     first = cast_many(df, rays, **how).groupBy("ray_id").agg(F.min("t").alias("t"))

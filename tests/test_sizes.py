@@ -1,6 +1,6 @@
 """Forms that large tables take, on small ones: against the plain loops."""
 
-from gridloom.operators import pairs, rect, verify
+from gridloom.operators import pairs, ray, rect, verify
 
 from .test_goldens import as_pairs, random_boxes, table
 
@@ -16,3 +16,19 @@ def test_pairs_in_blocks_equal_the_loop(spark):
     df = table(spark, random_boxes(13, 900))
     assert as_pairs(pairs.naive(df, plain=0)) == as_pairs(pairs.naive(df))
     assert pairs.blocks(df, 904).groupBy("block").count().agg({"count": "max"}).first()[0] <= pairs.BLOCK
+
+
+def test_rays_in_steps_and_blocks_equal_the_loop(spark, monkeypatch):
+    df = table(spark, random_boxes(14, 500, extent=3000) + [(900, 2990, 2991, -3000, 3000)])
+    rays = spark.createDataFrame([(k, -3000 + 37 * k % 6000, 3000 - 53 * k % 6000, k % 5 - 2, k % 3 - 1) for k in range(200)], "ray_id long, px long, py long, dx long, dy long")
+    want = ray.naive_many(df, rays)
+    for steps in ((1, 3), ()):
+        monkeypatch.setattr(ray, "STEPS", steps)
+        assert verify.same(want, ray.cast_many(df, rays))
+    assert verify.same(want, ray.naive_many(df, rays, plain=0))
+
+
+def test_paths_of_rays_are_not_broadcast(spark):
+    own = spark.range(3).selectExpr("id ray_id", "id px", "id py", "1L dx", "0L dy", "0.0D t1", "9.0D t2", "9.0D leave")
+    home = spark.range(9).selectExpr("id", "id x1", "id x2", "id y1", "id y2", "0 size", "id cx", "id cy")
+    assert "Broadcast" not in ray._met(own, home, (1.0, 1.0), [0])._jdf.queryExecution().executedPlan().toString()
