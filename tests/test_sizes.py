@@ -1,5 +1,7 @@
 """Forms that large tables take, on small ones: against the plain loops."""
 
+from pyspark.sql import functions as F
+
 from gridloom.operators import pairs, ray, rect, verify
 
 from .test_goldens import as_pairs, random_boxes, table
@@ -32,3 +34,13 @@ def test_paths_of_rays_are_not_broadcast(spark):
     own = spark.range(3).selectExpr("id ray_id", "id px", "id py", "1L dx", "0L dy", "0.0D t1", "9.0D t2", "9.0D leave")
     home = spark.range(9).selectExpr("id", "id x1", "id x2", "id y1", "id y2", "0 size", "id cx", "id cy")
     assert "Broadcast" not in ray._met(own, home, (1.0, 1.0), [0])._jdf.queryExecution().executedPlan().toString()
+
+
+def test_large_boxes_of_a_two_set_join_meet_few_small_ones(spark):
+    small = spark.range(40_000).selectExpr("id", "id % 200 x1", "id % 200 x2", "id div 200 y1", "id div 200 y2").withColumns({c: F.col(c) * 3 + d for c, d in (("x1", 0), ("x2", 1), ("y1", 0), ("y2", 1))})
+    large = spark.range(100).selectExpr("id", "id % 10 * 60 + 1 x1", "id % 10 * 60 + 7 x2", "id div 10 * 60 + 1 y1", "id div 10 * 60 + 7 y2")
+    cell = pairs._base(small.unionByName(large))
+    left, right = (pairs._cells(df.withColumn("own", pairs._size_class(cell, pairs.SPAN)), cell, [0]) for df in (small, large))
+    assert left.join(right, ["size", "cx", "cy"]).count() < 4 * 100 * 9
+    assert pairs.between(small, large, "intersects").count() == 100 * 9
+    assert pairs.between(small, large).count() == 100 * 4
