@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from gridloom.operators import pairs, ray, rect, verify
+from gridloom.operators import cache, pairs, ray, rect, tree, verify
 
 from .test_goldens import as_pairs, random_boxes, table
 
@@ -44,3 +44,18 @@ def test_large_boxes_of_a_two_set_join_meet_few_small_ones(spark):
     assert left.join(right, ["size", "cx", "cy"]).count() < 4 * 100 * 9
     assert pairs.between(small, large, "intersects").count() == 100 * 9
     assert pairs.between(small, large).count() == 100 * 4
+
+
+def test_tree_pairs_meet_only_what_reaches_a_node(spark):
+    df = spark.range(20_000).selectExpr("id", "id * 7919 % 20011 x1", "id * 7919 % 20011 + 2 x2", "id * 104729 % 20021 y1", "id * 104729 % 20021 + 40 y2")
+    t = tree.build(df)
+    assert as_pairs(tree.pairs(t)) == as_pairs(pairs.naive(df))
+    assert tree._binned_pairs(t)[1].count() < 4 * 20_000
+
+
+def test_folded_pairs_are_kept_by_element(spark):
+    df = table(spark, random_boxes(15, 300))
+    with cache.Session(df) as session:
+        kept = session.folded_pairs(F.count("*").alias("n"))
+        want = pairs.degree(df, pairs.grid(df)).where("degree > 0").withColumnRenamed("degree", "n")
+        assert verify.same(want, kept) and session.replay(kept, 3).count() == 3 * want.count()
