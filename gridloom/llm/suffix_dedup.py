@@ -418,9 +418,12 @@ class SuffixIndex:
         """Suffix arrays over the contexts, met with the levels of the grain. Returns key, ctx, a, b."""
         size = texts.agg(F.sum(F.length("bytes")).alias("n")).first()["n"] or 0
         buckets = _buckets(size)
-        got = self._write(_arrays(texts, buckets, self.keep), f"arrays{g}")
+        got = _arrays(texts, buckets, self.keep)
+        if not self.keep:  # read once, by repeats()
+            return got.select("key", "ctx", "a", "b")
+        got = self._write(got, f"arrays{g}")
         found, levels = got.where("bytes is null"), self.levels.get(str(g), [])
-        if not self.keep or not size:
+        if not size:
             return found.select("key", "ctx", "a", "b")
         new = got.where("bytes is not null")
         for k in range(len(levels) - 1, -1, -1):
@@ -485,7 +488,8 @@ class SuffixIndex:
         contexts = occ.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.first("lead").alias("lead"), F.first("nq").alias("nq"), F.min(place).alias("one"), F.max(place).alias("two"))
         before = self._stored("contexts0")
         found = self._grain(0, self._write(contexts, "contexts0", True), before, self._fetched)
-        self._found = self._write(found, "found", True)
+        # what is not kept goes on to repeats() without a table: executors start a process for each file they create on local disks
+        self._found = self._write(found, "found", True) if self.keep else found
         self.adds += 1
         if self.keep:
             state = self.spark.createDataFrame([(self.adds, json.dumps(self.tables), json.dumps(self.levels))], "adds bigint, tables string, levels string")

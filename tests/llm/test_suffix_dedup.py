@@ -49,6 +49,15 @@ def test_equals_brute_force(spark):
     assert sorted(map(tuple, D.spans(df).collect()), key=str) == brute(rows)
 
 
+def test_runs_found_are_not_written_apart(spark, monkeypatch):
+    rows, kinds, write = corpus(10), [], D.materialise
+    monkeypatch.setattr(D, "MOST_CONTEXTS", 3)
+    monkeypatch.setattr(D, "materialise", lambda df, kind="stage", path=None: kinds.append(kind) or write(df, kind, path))
+    assert sorted(map(tuple, D.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str) == brute(rows)
+    assert "parts0" in kinds and "repeats" in kinds
+    assert not [k for k in kinds if k.startswith(("arrays", "found"))]
+
+
 def test_hot_anchors_and_chunks(spark, monkeypatch):
     rows = corpus(6)
     df = spark.createDataFrame(rows, "doc_id long, text string")
